@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmill.llm import mixture, repeats, skeleton, split, tokens
+from weftmill.llm import mixture, repeats, residue, skeleton, split, tokens
 from weftmill.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,17 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_blocks, p4_cle
 SQL: dict[str, str] = {
     "p5_found": "select chunk_id from chunks where floor((length(text) + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) / 4.0) + 1 > 350",
 }
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.filter(F.size(residue.residue(F.col("text"))) > 0).select("doc_id")
+
+
+def p10_residue(spark: SparkSession, d: str) -> DataFrame:
+    """Each residue sentence, with its kind."""
+    docs = table(spark, d, "documents").select("doc_id", F.explode(residue.residue(F.col("text"))).alias("r"))
+    return docs.select("doc_id", "r.kind", "r.sentence", F.round("r.share", 6).alias("share"))
+
+
+QUERIES |= {f.__name__: f for f in (p10_found, p10_residue)}
