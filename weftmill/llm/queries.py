@@ -7,12 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmill.llm import mixture, repeats, residue, skeleton, split, tokens
-from weftmill.shared import table
+from weftmill.llm import language, mainbody, mixture, repeats, residue, skeleton, split, tokens
+from weftmill.shared import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.template_lines(table(spark, d, "extracted_pages"))
+
+
+def p1_body(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.main_body(table(spark, d, "extracted_pages"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.corrections(staged(p2_segments(spark, d), "segments"))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.labelled_segments(table(spark, d, "extracted_pages"), table(spark, d, "lang_samples"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats.repeated_lines(table(spark, d, "extracted_pages"), ["text", "footer"])
 
@@ -68,7 +84,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_blocks, p4_clean, p5_found, p5_pieces, p6_found, p6_consistent, p8_ids, p8_roundtrip, p9_mixture, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_body, p2_found, p2_segments, p4_found, p4_blocks, p4_clean, p5_found, p5_pieces, p6_found, p6_consistent, p8_ids, p8_roundtrip, p9_mixture, p9_shares)}
 
 SQL: dict[str, str] = {
     "p5_found": "select chunk_id from chunks where floor((length(text) + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) / 4.0) + 1 > 350",

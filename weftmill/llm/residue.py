@@ -31,7 +31,7 @@ PHRASES = {
         the page you requested | has moved or never existed | page does not exist | no longer available | nothing matched your search | try again with other words | no results found
         access denied | access forbidden | permission denied | forbidden | you don't have permission to | you do not have permission to | to view this resource | to access this resource | unauthorized
         internal server error | bad gateway | gateway time-out | gateway timeout | service unavailable | service temporarily unavailable | bad request | too many requests | request timed out
-        error establishing a database connection | fatal error | uncaught exception | parse error | undefined variable | undefined index | stack trace | traceback (most recent call last) | null pointer
+        error establishing a database connection | fatal error | uncaught exception | parse error | undefined variable | warning | in page on line | on line | undefined index | stack trace | traceback (most recent call last) | null pointer
         scheduled maintenance | down for maintenance | under maintenance | we will be back shortly | be right back | temporarily offline | under construction | coming soon
         checking your browser | verify you are human | completing the check below | are you a robot | complete the captcha | before you proceed | slow down | from your network
         session has expired | session expired | sign in again | please log in again | try again later | try later | please wait | loading | please contact the administrator
