@@ -111,6 +111,8 @@ def page_lines(text: str, title: str | None) -> list[tuple[int, str, str, int, i
             side = False
             continue
         mark, body, key, words, form, _, _, puncts = r
+        if mark == "li" and form == "row":
+            form = "data"  # a slash or a double space within an item parts no links
         if key in _HEADS and words <= 8 and mark in ("", "h") and i != title_at:
             side, form = True, "linkhead"
         elif mark in ("", "h") and words <= 8 and form in ("bare", "data") and i != title_at and _links_below(rows, i):
