@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmill.llm import language, mainbody, mixture, repeats, residue, skeleton, split, tokens
+from weftmill.llm import language, mainbody, mixture, ocr, repeats, residue, skeleton, split, tokens
 from weftmill.shared import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,14 @@ def p10_residue(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p10_found, p10_residue)}
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.noise(table(spark, d, "extracted_docs"))
+
+
+def p7_text(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repaired(table(spark, d, "extracted_docs")).select("file_id", "repaired")
+
+
+QUERIES |= {f.__name__: f for f in (p7_found, p7_text)}
