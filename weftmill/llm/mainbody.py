@@ -11,11 +11,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from weftmill.llm.repeats import MIN_SHARE, MIN_URLS, line_key
 from weftmill.llm.skeleton import skeleton
@@ -49,28 +51,57 @@ STAMPS = [
     r"^\W*(read more|view all|older (entries|posts)|newer (entries|posts)|next|previous|back to top|show more|load more|see all|more)\s*[»›>…]*\W*$",
 ]
 _NOTICE, _STAMP = regex.compile("|".join(f"(?:{p})" for p in NOTICES)), regex.compile("|".join(f"(?:{p})" for p in STAMPS))
+# What a line must hold for the patterns above to be tried on it.
+HINTS = """
+    cookie | small files | data notice | privacy | accept | कुकी | कूकी | કૂકી | कुकीज | reserved | reproduced | responsible | liability | responsibility | unauthor | copyright | © | (c) | powered | site by | terms
+    reproduction | droits | rechte | derechos | direitos | धिकार | राखीव | सुरक्षित | ધિકાર | हक्क | हक | સર્વ | હક | follow | like | find | join | subscribe | sign up | download | enquire | apply now | helpline | admissions open | share | send to | tell a | print this | save as | copy link
+    साझा | सांझा | मित्र | મિત્ર | compartir | partager | partilhar | compartilhar | teilen | empfehlen
+    posted | written | published | updated | edited | reviewed | modified | min read | minute | minutes | mins | comment | view | visitor | by | / | you are here | phone | tel | fax | call | mail | whatsapp | + | @
+    road | street | marg | nagar | lane | avenue | sector | colony | rue | straße | calle | rua | read more | older | newer | next | previous | back to | show more | load more | see all | more
+"""
 _HEADS = {line_key(x) for line in LINK_HEADINGS.strip().split("\n") for x in line.split("|")}
 _SPLIT_ROW = regex.compile(r"\s*(?:\||·|::|»|›|>|/|\s{2,}|→|•)\s*")
 _MARK = regex.compile(r"^\s*(#+|[-*•»›]|\d+[.)])\s+")
 _END = regex.compile(r"[.!?।…:;][\"”’)\]]*$")
 _DECOR = regex.compile(r"\s*(?:\.\.\.|…|»)\s*$")
+_ASCII_PUNCT = {ord(c): None for c in "!\"#%&'()*,-./:;?@[\\]_{}"}
 _PUNCT = regex.compile(r"[\p{P}]")
 _SENTENCES = regex.compile(r"[.!?।][\"”’)\]]*(?:\s|$)")
 _LINK_END = regex.compile(r"(?:\.\.\.|…|\(\d{1,2}[./-]\d{1,2}[./-]\d{4}\))\s*$")
 
-#: Words of a paragraph at least; the share of lines around one that smooth it; the fused ratio below which a path is the template's.
+#: Words of a paragraph at least; the fused ratio below which a path is the template's.
 PROSE_WORDS, THRESHOLD = 8, 20.0
+#: Sites whose ratios are broadcast at most (each has fewer than 200 paths); beyond that they are joined by shuffling.
+BROADCAST_SITES = 20_000
+
+ZONES, BLOCKS, MARKS, FORMS = ["any", "head", "main", "tail"], ["block", "links"], ["p", "h", "li"], ["prose", "data", "bare", "row", "notice", "stamp", "linkhead", "title"]
+_CODES = {f"{z}/{b}/{m}/{f}": ((i * 2 + j) * 3 + k) * 8 + n for i, z in enumerate(ZONES) for j, b in enumerate(BLOCKS) for k, m in enumerate(MARKS) for n, f in enumerate(FORMS)}
+_PROSE, _DATA, _BARE, _ROW, _TITLE = 0, 1, 2, 3, 7
+
+_LINES = StructType([StructField(n, ArrayType(LongType() if n == "keys" else IntegerType())) for n in ("nos", "codes", "below", "chars", "puncts", "keys")])
+
+
+def _hints() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for line in HINTS.strip().split("\n"):
+        for x in line.split(" | "):
+            a.add_word(skeleton(x.strip()), 1)
+    a.make_automaton()
+    return a
+
 
-_LINE = StructType([StructField("line_no", IntegerType()), StructField("path", StringType()), StructField("key", StringType()), StructField("chars", IntegerType()), StructField("puncts", IntegerType()), StructField("own", BooleanType())])
+_HINTS = _hints()
 
 
 def _form(line: str, words: int) -> str:
-    low = " ".join(line.lower().split())
-    ends = len(_SENTENCES.findall(low))
-    if (ends <= 2 or words < 30) and _NOTICE.search(low):
-        return "notice"
-    if ends <= 2 and words < 25 and _STAMP.search(low):
-        return "stamp"
+    ends = len(_SENTENCES.findall(line))
+    if ends <= 2 or words < 30:
+        low = " ".join(line.lower().split())
+        if next(_HINTS.iter(low), None):
+            if _NOTICE.search(low):
+                return "notice"
+            if ends <= 2 and words < 25 and _STAMP.search(low):
+                return "stamp"
     if words >= PROSE_WORDS and (_END.search(line) or ends >= 1):
         return "prose"
     parts = [p for p in _SPLIT_ROW.split(line) if p.strip()]
@@ -92,7 +123,8 @@ def _parsed(raw: str) -> tuple[str, str, str, int, str, str, bool, int] | None:
     body = _DECOR.sub("", line[m.end() :] if m else line)
     words = len(body.split())
     linked = bool(_LINK_END.search(line)) or sign in ("»", "›")
-    return "" if not m else "h" if sign[0] == "#" else "li", body, line_key(body), words, _form(body, words), sign, linked, len(_PUNCT.findall(body))
+    puncts = len(body) - len(body.translate(_ASCII_PUNCT)) if body.isascii() else len(_PUNCT.findall(body))
+    return "" if not m else "h" if sign[0] == "#" else "li", body, line_key(body), words, _form(body, words), sign, linked, puncts
 
 
 def page_lines(text: str, title: str | None) -> list[tuple[int, str, str, int, int, bool]]:
@@ -131,71 +163,81 @@ def _links_below(rows: list, i: int) -> bool:
     return len(below) == 2 and all(r is not None and r[6] for r in below)
 
 
-@F.pandas_udf(ArrayType(_LINE))
-def _page_lines(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for text, title in texts:
-        yield pd.Series([[dict(zip(_LINE.names, x)) for x in page_lines(t, h)] if t else [] for t, h in zip(text, title)])
+@F.pandas_udf(_LINES)
+def _page_lines(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, titles in parts:
+        out = []
+        for text, title in zip(texts, titles):
+            rows = page_lines(text, title) if text else []
+            codes = [_CODES[r[1]] for r in rows]
+            below, last = [], -1
+            for r, c in zip(reversed(rows), reversed(codes)):
+                below.append(last)
+                if "/h/" not in r[1]:
+                    last = c
+            keys = [xxhash.xxh3_64_intdigest(r[2]) - (1 << 63) if c % 8 == _PROSE else 0 for r, c in zip(rows, codes)]
+            out.append(([r[0] for r in rows], codes, below[::-1], [r[3] for r in rows], [r[4] for r in rows], keys))
+        yield pd.DataFrame(out, columns=_LINES.names)
 
 
-def scored_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, line_no, path, ratio, template) of every non-blank line of ``pages`` (page_id, url, site, title, text).
+def scored_pages(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(page_id, *keep, ls) of every page, ls being (line_no, code of its path, ratio, template) of its non-blank lines.
 
     A path's ratio is characters per line times punctuation marks per line over all pages, mixed with the same over the
-    page's site; link lists, notices and stamps have none. A heading takes the ratio of what follows it. A paragraph whose
-    very line is on at least 6 and 15 % of its site's urls is the template's, whatever its path. Null and empty texts have
-    no lines; a null title or site only takes away a hint. Of pages that repeat an id, each line counts.
+    page's site; link lists, notices and stamps have none. A heading is smoothed with what stands below it. A paragraph
+    whose very line is on at least 6 and 15 % of its site's urls is the template's, whatever its path. Null and empty
+    texts have no lines; a null title or site only takes away a hint. Pages that repeat an id are scored each.
+
+    Lines stay arrays in their page's row, and only sums by site and path and hashes of paragraphs are shuffled.
     """
-    lines = pages.select("page_id", "url", F.coalesce("site", F.lit("")).alias("site"), F.explode(_page_lines(F.col("text"), F.coalesce(F.col("title"), F.lit("")))).alias("l")).select("page_id", "url", "site", "l.*")
-    lines = staged(lines.withColumn("key", F.xxhash64("key")), "pagelines")
-    per = lines.groupBy("site", "path").agg(F.sum("chars").alias("c"), F.sum("puncts").alias("p"), F.count("*").alias("n"))
-    all_ = per.groupBy("path").agg((F.sum("c") / F.sum("n")).alias("mc"), (F.sum("p") / F.sum("n")).alias("mp"))
+    site = F.coalesce("site", F.lit(""))
+    rows = pages.select("page_id", *keep, F.xxhash64("url").alias("u"), F.col("url").isNotNull().alias("has_url"), site.alias("site"), _page_lines(F.col("text"), F.coalesce(F.col("title"), F.lit(""))).alias("l"))
+    rows = staged(rows.select("page_id", *keep, "u", "has_url", "site", "l.*"), "pagelines")
+    per = rows.select("site", F.explode(F.arrays_zip("codes", "chars", "puncts")).alias("x")).groupBy("site", F.col("x.codes").alias("code")).agg(F.sum("x.chars").alias("c"), F.sum("x.puncts").alias("p"), F.count("*").alias("n"))
+    all_ = per.groupBy("code").agg((F.sum("c") / F.sum("n")).alias("mc"), (F.sum("p") / F.sum("n")).alias("mp"))
     weight = 50.0  # lines of a site that count as much as the whole corpus
-    barred = F.col("path").rlike(r"^\w+/links/|/(notice|stamp|linkhead)$")
+    barred = F.expr("code % 8 in (4, 5, 6) or int(code / 24) % 2 = 1")
     fused = (F.col("c") + weight * F.col("mc")) / (F.col("n") + weight) * (F.col("p") + weight * F.col("mp")) / (F.col("n") + weight)
-    ratios = per.join(F.broadcast(all_), "path").select("site", "path", F.when(barred, 0.0).otherwise(fused).alias("ratio"))  # paths are a fixed few
-    urls = pages.filter("url is not null").select(F.coalesce("site", F.lit("")).alias("site"), "url").distinct().groupBy("site").agg(F.count("*").alias("urls"))
-    long_ = lines.filter(F.col("path").endswith("/prose") & F.col("url").isNotNull())
-    common = long_.select("site", "key", "url").distinct().groupBy("site", "key").agg(F.count("*").alias("on")).filter(f"on >= {MIN_URLS}").join(urls, "site").filter(F.col("on") >= MIN_SHARE * F.col("urls")).select("site", "key", F.lit(True).alias("common"))
-    scored = lines.join(ratios, ["site", "path"]).join(common, ["site", "key"], "left")
-    per_page = scored.groupBy("page_id", "url", "site").agg(F.sort_array(F.collect_list(F.struct("line_no", "path", "ratio", "own", F.coalesce("common", F.lit(False)).alias("common")))).alias("ls"))
-    # a page's lines, from the last to the first: a heading has the ratio of what stands below it
-    return per_page.select("page_id", F.explode(_smoothed(F.col("ls"))).alias("x")).select("page_id", "x.line_no", "x.path", "x.ratio", "x.template")
-
-
-_SCORED = StructType([StructField("line_no", IntegerType()), StructField("path", StringType()), StructField("ratio", StringType()), StructField("template", BooleanType())])
-
-
-@F.pandas_udf(ArrayType(_SCORED))
-def _smoothed(pages: pd.Series) -> pd.Series:
-    def page(ls) -> list[dict]:
-        out, below = [], 0.0
-        for x in reversed(list(ls)):
-            _, block, mark, form = x["path"].split("/")
-            ratio = x["ratio"]
-            if x["own"] or form == "title":
-                ratio = max(ratio, 2 * THRESHOLD)
-            elif mark == "h" and ratio > 0:
-                ratio = max(ratio, (ratio + below) / 2) if below >= THRESHOLD else max(ratio, THRESHOLD)
-            elif form in ("bare", "row") or form == "data" and mark != "li":
-                ratio = min(ratio, THRESHOLD - 1)
-            if x["common"] and not x["own"]:
-                ratio = 0.0
-            if mark != "h":
-                below = ratio
-            out.append({"line_no": x["line_no"], "path": x["path"], "ratio": f"{ratio:.3f}", "template": bool(ratio < THRESHOLD)})
-        return out[::-1]
-
-    return pages.map(page)
+    ratios = per.join(F.broadcast(all_), "code").groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("code", F.when(barred, 0.0).otherwise(fused)))).alias("ratios"))  # paths are a fixed few
+    urls = rows.filter("has_url").select("site", "u").distinct().groupBy("site").agg(F.count("*").alias("urls"))
+    keys = rows.filter("has_url").select("site", "u", F.explode(F.array_distinct("keys")).alias("key")).filter("key <> 0").distinct()
+    # a site has few such lines: at most 1 / MIN_SHARE times the lines of a page
+    common = keys.groupBy("site", "key").agg(F.count("*").alias("on")).filter(f"on >= {MIN_URLS}").join(urls, "site").filter(F.col("on") >= MIN_SHARE * F.col("urls")).groupBy("site").agg(F.collect_list("key").alias("common"))
+    sites = staged(ratios.join(common, "site", "left"), "sites")
+    small = sites.count() <= BROADCAST_SITES
+    scored = rows.join(F.broadcast(sites) if small else sites, "site", "left")
+    line = F.arrays_zip("nos", "codes", "below", "keys")
+    t = THRESHOLD
+
+    def score(x):
+        form, mark = x["codes"] % 8, F.floor(x["codes"] / 8) % 3
+        ratio = F.coalesce(F.try_element_at("ratios", x["codes"]), F.lit(0.0))
+        near = F.coalesce(F.try_element_at("ratios", x["below"]), F.lit(0.0))
+        ratio = (
+            F.when(form == _TITLE, F.greatest(ratio, F.lit(2 * t)))
+            .when((x["keys"] != 0) & F.array_contains(F.coalesce("common", F.array().cast("array<bigint>")), x["keys"]), F.lit(0.0))
+            .when((mark == 1) & (ratio > 0), F.greatest(F.lit(t), (ratio + near) / 2))
+            .when(form.isin(_BARE, _ROW) | (form == _DATA) & (mark != 2), F.least(ratio, F.lit(t - 1)))
+            .otherwise(ratio)
+        )
+        return F.struct(x["nos"].alias("line_no"), x["codes"].alias("code"), ratio.alias("ratio"), (ratio < t).alias("template"))
+
+    return scored.select("page_id", *keep, F.transform(line, score).alias("ls"))
+
+
+def scored_lines(pages: DataFrame) -> DataFrame:
+    """``scored_pages`` with a row for each line: (page_id, line_no, path, ratio, template)."""
+    names = F.array(*map(F.lit, _CODES))
+    return scored_pages(pages).select("page_id", F.explode("ls").alias("x")).select("page_id", "x.line_no", F.get(names, F.col("x.code")).alias("path"), "x.ratio", "x.template")
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
     """(page_id, line_no) of every non-blank line that the site's template adds."""
-    return scored_lines(pages).filter("template").select("page_id", "line_no")
+    return scored_pages(pages).select("page_id", F.explode(F.filter("ls", lambda x: x["template"])).alias("x")).select("page_id", "x.line_no")
 
 
 def main_body(pages: DataFrame) -> DataFrame:
     """(page_id, body): each page's own lines in order; "" where the template is all there is, null where there is no text."""
-    gone = template_lines(pages).groupBy("page_id").agg(F.collect_set("line_no").alias("gone"))
-    out = pages.select("page_id", "text").join(gone, "page_id", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(F.col("gone"), F.array().cast("array<int>")), i))
-    return out.select("page_id", F.trim(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")).alias("body"))
+    gone = F.transform(F.filter("ls", lambda x: x["template"]), lambda x: x["line_no"])
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    return scored_pages(pages, ["text"]).select("page_id", F.trim(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")).alias("body"))

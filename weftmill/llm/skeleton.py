@@ -58,6 +58,7 @@ def _table() -> dict[int, str]:
 
 
 _PROTOTYPE: dict[int, str] = {}
+_REPLACED: set[str] = set()
 _LINE_END = re.compile("\r\n|[\u2028\u2029\x85]")
 
 
@@ -70,8 +71,9 @@ def skeleton(text: str) -> str:
         return text.replace("\t", " ").replace("\r\n", "\n") if "\t" in text or "\r" in text else text
     if not _PROTOTYPE:
         _PROTOTYPE.update(_table())
+        _REPLACED.update(map(chr, _PROTOTYPE))
     text = unicodedata.normalize("NFD", _LINE_END.sub("\n", text))
-    return unicodedata.normalize("NFD", text.translate(_PROTOTYPE))
+    return unicodedata.normalize("NFD", text.translate(_PROTOTYPE)) if not _REPLACED.isdisjoint(text) else text
 
 
 @F.pandas_udf(StringType())
