@@ -131,7 +131,7 @@ def age_days(url: Column, at: Column, academic_year: Column, as_of: Column) -> C
     june = F.when((year >= "2000") & (year <= "2100"), F.make_timestamp_ntz(year.try_cast("int"), F.lit(6), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
     ts = F.least(at, june)  # ignores nulls
     home = F.length(F.regexp_replace(F.regexp_replace(url, "/+$", ""), "[^/]", "")) <= 2
-    days = F.timestampdiff("SECOND", ts, as_of) / 86400.0 if hasattr(F, "timestampdiff") else F.expr("0")
+    days = F.timestamp_diff("SECOND", ts, as_of) / 86400.0
     return F.when(~F.coalesce(home, F.lit(False)), F.greatest(F.lit(0.0), days))
 
 

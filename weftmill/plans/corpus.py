@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftmill.functions import text as T
 from weftmill.functions import urls as U
 from weftmill.operators import chunk, clean, crawl
+from weftmill.plans.registry import registered
 from weftmill.shared import table
 
 _HOST = "lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))"
@@ -19,14 +20,7 @@ QUERIES, SQL = {}, {}
 
 def query(sql: str | None = None):
     """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+    return registered(QUERIES, SQL, sql)
 
 
 @query(f"""
@@ -107,7 +101,7 @@ def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", T.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("select doc_id, sha256(trim(regexp_replace(text, '[\\s\\x0b]+', ' ', 'g'))) as hash from documents")
+@query("select doc_id, sha256(trim(regexp_replace(text, '[\\s\\x0b]+', ' ', 'g'), ' ')) as hash from documents")
 def text_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.text_hash(F.col("text")).alias("hash"))
 
