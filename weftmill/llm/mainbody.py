@@ -120,9 +120,11 @@ def _parsed(raw: str) -> tuple[str, str, str, int, str, str, bool, int] | None:
         return None
     m = _MARK.match(line)
     sign = m.group(1) if m else ""
-    body = _DECOR.sub("", line[m.end() :] if m else line)
+    body = line[m.end() :] if m else line
+    if line[-1] in ".…»":
+        body = _DECOR.sub("", body)
     words = len(body.split())
-    linked = bool(_LINK_END.search(line)) or sign in ("»", "›")
+    linked = line[-1] in ".…)" and bool(_LINK_END.search(line)) or sign in ("»", "›")
     puncts = len(body) - len(body.translate(_ASCII_PUNCT)) if body.isascii() else len(_PUNCT.findall(body))
     return "" if not m else "h" if sign[0] == "#" else "li", body, line_key(body), words, _form(body, words), sign, linked, puncts
 
