@@ -9,7 +9,8 @@ fused, smoothed along each page, and paths below a threshold are what the templa
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from weftmill.llm.repeats import MIN_SHARE, MIN_URLS, line_key
-from weftmill.llm.skeleton import skeleton
+from weftmill.llm.repeats import MIN_SHARE, MIN_URLS
+from weftmill.llm.skeleton import Letters, skeleton
 from weftmill.shared import staged
 
 # Headings of lists of other pages.
@@ -51,20 +52,31 @@ STAMPS = [
     r"^\W*(read more|view all|older (entries|posts)|newer (entries|posts)|next|previous|back to top|show more|load more|see all|more)\s*[»›>…]*\W*$",
 ]
 _NOTICE, _STAMP = regex.compile("|".join(f"(?:{p})" for p in NOTICES)), regex.compile("|".join(f"(?:{p})" for p in STAMPS))
-# What a line must hold for the patterns above to be tried on it.
-HINTS = """
-    cookie | small files | data notice | privacy | accept | कुकी | कूकी | કૂકી | कुकीज | reserved | reproduced | responsible | liability | responsibility | unauthor | copyright | © | (c) | powered | site by | terms
-    reproduction | droits | rechte | derechos | direitos | धिकार | राखीव | सुरक्षित | ધિકાર | हक्क | हक | સર્વ | હક | follow | like | find | join | subscribe | sign up | download | enquire | apply now | helpline | admissions open | share | send to | tell a | print this | save as | copy link
-    साझा | सांझा | मित्र | મિત્ર | compartir | partager | partilhar | compartilhar | teilen | empfehlen
-    posted | written | published | updated | edited | reviewed | modified | min read | minute | minutes | mins | comment | view | visitor | by | / | you are here | phone | tel | fax | call | mail | whatsapp | + | @
-    road | street | marg | nagar | lane | avenue | sector | colony | rue | straße | calle | rua | read more | older | newer | next | previous | back to | show more | load more | see all | more
+# What a line must hold for the patterns of notices, and of stamps, to be tried on it.
+NOTICE_HINTS = """
+    cookie | small files | data notice | privacy | accept all | कुकी | કૂકી | कुकीज | reserved | reproduced | responsible | liability | responsibility | unauthor | copyright | © | (c) | powered by | site by | terms of | terms and
+    reproduction | droits | rechte | derechos | direitos | धिकार | राखीव | सुरक्षित | ધિકાર | हक्क | हक | સર્વ | હક | follow | like us | like | find us | join us | subscribe | sign up | download the | enquire now | apply now | helpline | admissions open
+    share | send to a | tell a | print this | save as | copy link | साझा | सांझा | मित्र | મિત્ર | compartir | partager | partilhar | compartilhar | teilen | empfehlen
 """
-_HEADS = {line_key(x) for line in LINK_HEADINGS.strip().split("\n") for x in line.split("|")}
+STAMP_HINTS = """
+    posted | written | published | updated | edited | reviewed | modified | min read | minute read | minutes read | mins read | comment | views | visitor | shares | likes | / | you are here | phone | tel | fax | call | mail | whatsapp | + | @
+    road | street | marg | nagar | lane | avenue | sector | colony | rue | straße | calle | rua
+"""
+_LETTERS = Letters(None)
+
+
+def _key(line: str) -> str:
+    """Letters of a line in its consistent form, in lower case."""
+    return line.lower().translate(_LETTERS)
+
+
+_HEADS = {_key(skeleton(x)) for line in LINK_HEADINGS.strip().split("\n") for x in line.split("|")}
 _SPLIT_ROW = regex.compile(r"\s*(?:\||·|::|»|›|>|/|\s{2,}|→|•)\s*")
 _MARK = regex.compile(r"^\s*(#+|[-*•»›]|\d+[.)])\s+")
 _END = regex.compile(r"[.!?।…:;][\"”’)\]]*$")
 _DECOR = regex.compile(r"\s*(?:\.\.\.|…|»)\s*$")
 _ASCII_PUNCT = {ord(c): None for c in "!\"#%&'()*,-./:;?@[\\]_{}"}
+_DATUM = re.compile(r"[0-9:,;(]")
 _PUNCT = regex.compile(r"[\p{P}]")
 _SENTENCES = regex.compile(r"[.!?।][\"”’)\]]*(?:\s|$)")
 _LINK_END = regex.compile(r"(?:\.\.\.|…|\(\d{1,2}[./-]\d{1,2}[./-]\d{4}\))\s*$")
@@ -81,33 +93,32 @@ _PROSE, _DATA, _BARE, _ROW, _TITLE = 0, 1, 2, 3, 7
 _LINES = StructType([StructField(n, ArrayType(LongType() if n == "keys" else IntegerType())) for n in ("nos", "codes", "below", "chars", "puncts", "keys")])
 
 
-def _hints() -> ahocorasick.Automaton:
+def _hints(block: str) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for line in HINTS.strip().split("\n"):
+    for line in block.strip().split("\n"):
         for x in line.split(" | "):
             a.add_word(skeleton(x.strip()), 1)
     a.make_automaton()
     return a
 
 
-_HINTS = _hints()
+_NOTICE_HINTS, _STAMP_HINTS = _hints(NOTICE_HINTS), _hints(STAMP_HINTS)
 
 
 def _form(line: str, words: int) -> str:
     ends = len(_SENTENCES.findall(line))
     if ends <= 2 or words < 30:
         low = " ".join(line.lower().split())
-        if next(_HINTS.iter(low), None):
-            if _NOTICE.search(low):
-                return "notice"
-            if ends <= 2 and words < 25 and _STAMP.search(low):
-                return "stamp"
+        if next(_NOTICE_HINTS.iter(low), None) and _NOTICE.search(low):
+            return "notice"
+        if ends <= 2 and words < 25 and (words <= 4 or low.startswith("by ") or next(_STAMP_HINTS.iter(low), None)) and _STAMP.search(low):
+            return "stamp"
     if words >= PROSE_WORDS and (_END.search(line) or ends >= 1):
         return "prose"
     parts = [p for p in _SPLIT_ROW.split(line) if p.strip()]
     if len(parts) >= 2 and all(len(p.split()) <= 4 for p in parts):
         return "row"
-    if regex.search(r"[\d:,;(]", line):
+    if _DATUM.search(line):
         return "data"
     return "prose" if words >= 2 * PROSE_WORDS else "bare"
 
@@ -126,13 +137,13 @@ def _parsed(raw: str) -> tuple[str, str, str, int, str, str, bool, int] | None:
     words = len(body.split())
     linked = line[-1] in ".…)" and bool(_LINK_END.search(line)) or sign in ("»", "›")
     puncts = len(body) - len(body.translate(_ASCII_PUNCT)) if body.isascii() else len(_PUNCT.findall(body))
-    return "" if not m else "h" if sign[0] == "#" else "li", body, line_key(body), words, _form(body, words), sign, linked, puncts
+    return "" if not m else "h" if sign[0] == "#" else "li", body, _key(body), words, _form(body, words), sign, linked, puncts
 
 
-def page_lines(text: str, title: str | None) -> list[tuple[int, str, str, int, int, bool]]:
-    """(line_no, path, key, characters, punctuation, own title) of every non-blank line of a page."""
+def page_lines(text: str, title: str | None) -> list[tuple[int, str, str, int, int, str, int]]:
+    """(line_no, path, key, characters, punctuation, line in its consistent form, words) of every non-blank line of a page."""
     raw = text.split("\n")
-    own = line_key(title or "")
+    own = _key(skeleton(title or ""))
     rows = [_parsed(x) for x in raw]
     prose = [r is not None and r[0] == "" and r[4] == "prose" for r in rows]
     opening = next((i for i, p in enumerate(prose) if p), len(rows))
@@ -155,7 +166,7 @@ def page_lines(text: str, title: str | None) -> list[tuple[int, str, str, int, i
             side = False
         zone = "head" if i < first else "tail" if i > last else "main"
         path = "/".join([zone if mark != "li" or form != "data" else "any", "links" if side else "block", mark or "p", form if i != title_at else "title"])
-        out.append((i, path, key, len(body), puncts, i == title_at))
+        out.append((i, path, key, len(body), puncts, body, words))
     return out
 
 
@@ -165,26 +176,40 @@ def _links_below(rows: list, i: int) -> bool:
     return len(below) == 2 and all(r is not None and r[6] for r in below)
 
 
-@F.pandas_udf(_LINES)
-def _page_lines(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, titles in parts:
-        out = []
-        for text, title in zip(texts, titles):
-            rows = page_lines(text, title) if text else []
-            codes = [_CODES[r[1]] for r in rows]
-            below, last = [], -1
-            for r, c in zip(reversed(rows), reversed(codes)):
-                below.append(last)
-                if "/h/" not in r[1]:
-                    last = c
-            keys = [xxhash.xxh3_64_intdigest(r[2]) - (1 << 63) if c % 8 == _PROSE else 0 for r, c in zip(rows, codes)]
-            out.append(([r[0] for r in rows], codes, below[::-1], [r[3] for r in rows], [r[4] for r in rows], keys))
-        yield pd.DataFrame(out, columns=_LINES.names)
-
-
-def scored_pages(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
+def _page_lines(judge: Callable | None):
+    """The function that reads pages; ``judge`` makes what labels a paragraph with two numbers, once in each worker."""
+    names = [*_LINES.names, *(["first", "second", "words"] if judge else [])]
+
+    @F.pandas_udf(StructType([StructField(n, ArrayType(LongType() if n == "keys" else IntegerType())) for n in names]))
+    def read(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        label = judge() if judge else None
+        for texts, titles in parts:
+            out = []
+            for text, title in zip(texts, titles):
+                rows = page_lines(text, title) if text else []
+                codes = [_CODES[r[1]] for r in rows]
+                below, last = [], -1
+                for r, c in zip(reversed(rows), reversed(codes)):
+                    below.append(last)
+                    if "/h/" not in r[1]:
+                        last = c
+                keys = [xxhash.xxh3_64_intdigest(r[2]) - (1 << 63) if c % 8 == _PROSE else 0 for r, c in zip(rows, codes)]
+                got = [[r[0] for r in rows], codes, below[::-1], [r[3] for r in rows], [r[4] for r in rows], keys]
+                if label:
+                    said = [label(r[5]) if c // 8 % 3 == 0 and r[6] >= PROSE_WORDS and c % 8 in (_PROSE, _DATA, _BARE) else (-1, 0) for r, c in zip(rows, codes)]
+                    got += [[a for a, _ in said], [b for _, b in said], [r[6] for r in rows]]
+                out.append(got)
+            yield pd.DataFrame(out, columns=names)
+
+    return read
+
+
+def scored_pages(pages: DataFrame, keep: list[str] = (), judge: Callable | None = None) -> DataFrame:
     """(page_id, *keep, ls) of every page, ls being (line_no, code of its path, ratio, template) of its non-blank lines.
 
+    With ``judge``, the lines also have two numbers (first, second) that its function gives each paragraph of at least
+    eight words, read in the same pass, and their words.
+
     A path's ratio is characters per line times punctuation marks per line over all pages, mixed with the same over the
     page's site; link lists, notices and stamps have none. A heading is smoothed with what stands below it. A paragraph
     whose very line is on at least 6 and 15 % of its site's urls is the template's, whatever its path. Null and empty
@@ -193,7 +218,7 @@ def scored_pages(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
     Lines stay arrays in their page's row, and only sums by site and path and hashes of paragraphs are shuffled.
     """
     site = F.coalesce("site", F.lit(""))
-    rows = pages.select("page_id", *keep, F.xxhash64("url").alias("u"), F.col("url").isNotNull().alias("has_url"), site.alias("site"), _page_lines(F.col("text"), F.coalesce(F.col("title"), F.lit(""))).alias("l"))
+    rows = pages.select("page_id", *keep, F.xxhash64("url").alias("u"), F.col("url").isNotNull().alias("has_url"), site.alias("site"), _page_lines(judge)(F.col("text"), F.coalesce(F.col("title"), F.lit(""))).alias("l"))
     rows = staged(rows.select("page_id", *keep, "u", "has_url", "site", "l.*"), "pagelines")
     per = rows.select("site", F.explode(F.arrays_zip("codes", "chars", "puncts")).alias("x")).groupBy("site", F.col("x.codes").alias("code")).agg(F.sum("x.chars").alias("c"), F.sum("x.puncts").alias("p"), F.count("*").alias("n"))
     all_ = per.groupBy("code").agg((F.sum("c") / F.sum("n")).alias("mc"), (F.sum("p") / F.sum("n")).alias("mp"))
@@ -208,7 +233,8 @@ def scored_pages(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
     sites = staged(ratios.join(common, "site", "left"), "sites")
     small = sites.count() <= BROADCAST_SITES
     scored = rows.join(F.broadcast(sites) if small else sites, "site", "left")
-    line = F.arrays_zip("nos", "codes", "below", "keys")
+    more = ["first", "second", "words"] if judge else []
+    line = F.arrays_zip("nos", "codes", "below", "keys", *more)
     t = THRESHOLD
 
     def score(x):
@@ -222,7 +248,7 @@ def scored_pages(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
             .when(form.isin(_BARE, _ROW) | (form == _DATA) & (mark != 2), F.least(ratio, F.lit(t - 1)))
             .otherwise(ratio)
         )
-        return F.struct(x["nos"].alias("line_no"), x["codes"].alias("code"), ratio.alias("ratio"), (ratio < t).alias("template"))
+        return F.struct(x["nos"].alias("line_no"), x["codes"].alias("code"), ratio.alias("ratio"), (ratio < t).alias("template"), *[x[n].alias(n) for n in more])
 
     return scored.select("page_id", *keep, F.transform(line, score).alias("ls"))
 

@@ -57,6 +57,17 @@ def _table() -> dict[int, str]:
     return out
 
 
+class Letters(dict):
+    """A table for ``str.translate``: letters and marks stay, all else becomes ``other``; each character is looked up once."""
+
+    def __init__(self, other: int | None):
+        self.other = other
+
+    def __missing__(self, point: int) -> int | None:
+        self[point] = out = point if unicodedata.category(chr(point))[0] in "LM" else self.other
+        return out
+
+
 _PROTOTYPE: dict[int, str] = {}
 _REPLACED: set[str] = set()
 _LINE_END = re.compile("\r\n|[\u2028\u2029\x85]")
