@@ -244,7 +244,7 @@ def scored_pages(pages: DataFrame, keep: list[str] = (), judge: Callable | None
         ratio = (
             F.when(form == _TITLE, F.greatest(ratio, F.lit(2 * t)))
             .when((x["keys"] != 0) & F.array_contains(F.coalesce("common", F.array().cast("array<bigint>")), x["keys"]), F.lit(0.0))
-            .when((mark == 1) & (ratio > 0), F.greatest(F.lit(t), (ratio + near) / 2))
+            .when((mark == 1) & ~form.isin(4, 5, 6) & (F.floor(x["codes"] / 24) % 2 == 0), F.greatest(F.lit(t), (ratio + near) / 2))
             .when(form.isin(_BARE, _ROW) | (form == _DATA) & (mark != 2), F.least(ratio, F.lit(t - 1)))
             .otherwise(ratio)
         )
@@ -268,4 +268,4 @@ def main_body(pages: DataFrame) -> DataFrame:
     """(page_id, body): each page's own lines in order; "" where the template is all there is, null where there is no text."""
     gone = F.transform(F.filter("ls", lambda x: x["template"]), lambda x: x["line_no"])
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
-    return scored_pages(pages, ["text"]).select("page_id", F.trim(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")).alias("body"))
+    return scored_pages(pages, ["text"]).select("page_id", F.btrim(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"), F.lit(" \n")).alias("body"))
