@@ -21,26 +21,23 @@ def instant_micros(text: Column) -> Column:
     2000-2069 and 1970-1999. Null, empty, unreadable and impossible dates give null.
     """
     s = F.trim(text)
-    month = lambda name: F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(name)).cast("string"), 2, "0")
-
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(s, pattern, i)
-
-    def built(pattern: str, year: Column, mon: Column, day: Column, first: int, zone: int) -> Column:
-        two = lambda c: F.lpad(F.when(c == "", "0").otherwise(c), 2, "0")
-        z = F.lower(part(pattern, zone))
-        digits = F.regexp_replace(z, "[^0-9]", "")
-        offset = F.when(z.rlike("^[+-]"), F.concat(F.substring(z, 1, 1), F.substring(digits, 1, 2), F.lit(":"), F.rpad(F.substring(digits, 3, 2), 2, "0"))).otherwise("+00:00")
-        text = F.concat(year, F.lit("-"), mon, F.lit("-"), F.lpad(day, 2, "0"), F.lit("T"), two(part(pattern, first)), F.lit(":"), two(part(pattern, first + 1)), F.lit(":"), two(part(pattern, first + 2)), F.lit("."), F.rpad(part(pattern, first + 3), 6, "0"), offset)
-        return F.unix_micros(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")))
-
-    short = part(_RFC, 3)
-    full = F.when(F.length(short) == 4, short).when(short >= "70", F.concat(F.lit("19"), short)).otherwise(F.concat(F.lit("20"), short))
-    return (
-        F.when(s.rlike(_ISO), built(_ISO, part(_ISO, 1), F.lpad(part(_ISO, 2), 2, "0"), part(_ISO, 3), 4, 8))
-        .when(s.rlike(_RFC), built(_RFC, full, month(part(_RFC, 2)), part(_RFC, 1), 4, 8))
-        .when(s.rlike(_ASC), built(_ASC, part(_ASC, 7), month(part(_ASC, 1)), part(_ASC, 2), 3, 8))
+    # one replacement brings a notation's parts into one order: year, month, day, hour, minute, second, fraction, zone
+    parts = (
+        F.when(s.rlike(_ISO), F.regexp_replace(s, _ISO, "$1|$2|$3|$4|$5|$6|$7|$8"))
+        .when(s.rlike(_RFC), F.regexp_replace(s, _RFC, "$3|$2|$1|$4|$5|$6|$7|$8"))
+        .when(s.rlike(_ASC), F.regexp_replace(s, _ASC, "$7|$1|$2|$3|$4|$5|$6|$8"))
     )
+    return F.transform(F.array(F.split(parts, r"\|", -1)), _from_parts)[0]
+
+
+def _from_parts(a: Column) -> Column:
+    two = lambda c: F.lpad(F.when(c == "", "0").otherwise(c), 2, "0")
+    year = F.when(F.length(a[0]) == 4, a[0]).when(a[0] >= "70", F.concat(F.lit("19"), a[0])).otherwise(F.concat(F.lit("20"), a[0]))
+    month = F.when(a[1].rlike("^[0-9]"), a[1]).otherwise(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(a[1], 1, 3))).cast("string"))
+    digits = F.regexp_replace(a[7], "[^0-9]", "")
+    offset = F.when(a[7].rlike("^[+-]"), F.concat(F.substring(a[7], 1, 1), F.substring(digits, 1, 2), F.lit(":"), F.rpad(F.substring(digits, 3, 2), 2, "0"))).otherwise("+00:00")
+    text = F.concat(year, F.lit("-"), two(month), F.lit("-"), two(a[2]), F.lit("T"), two(a[3]), F.lit(":"), two(a[4]), F.lit(":"), two(a[5]), F.lit("."), F.rpad(a[6], 6, "0"), offset)
+    return F.unix_micros(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")))
 
 
 def etag_value(etag: Column) -> Column:

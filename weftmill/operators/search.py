@@ -221,3 +221,41 @@ ADDRESSED = r"(?i)\b(sir|madam|ma'?am|mam|miss|teacher|professor|prof|dr|mr|mrs|
 
 def with_coverage(hits: DataFrame, query: str = "query", text: str = "text", own: Sequence[str] = ()) -> DataFrame:
     return hits.withColumn("coverage", coverage(F.col(query), F.col(text), own))
+
+
+def people_first(hits: DataFrame, named: DataFrame, threshold: float = THRESHOLD, query_key: str = "query_id", profile: str = "is_profile", text: str = "text") -> DataFrame:
+    """``hits`` (grade, rank_score, content_type, is_profile) with those first that name a person asked about.
+
+    A profile gains 1, a page that names one 0.5, a file 0.1, on top of the grade, which rises to ``threshold``. A query
+    names a few people, so their names are one array of its hits.
+    """
+    names = named.groupBy(query_key).agg(F.collect_set(F.lower("name")).alias("_names"))
+    d = hits.join(names, query_key, "left")
+    says = F.exists("_names", lambda n: F.lower(F.col(text)).contains(n) | F.lower(F.col(text)).contains(F.array_join(F.reverse(F.split(n, " ")), " ")))
+    bonus = F.when(F.col("_names").isNull(), None).when(F.col(profile), 1.0).when(says & (F.col("content_type") == "html"), 0.5).when(says, 0.1)
+    return d.withColumn("_b", bonus).withColumn("rank_score", F.coalesce(F.col("_b") + F.col("grade"), "rank_score")).withColumn("grade", F.when(F.col("_b").isNotNull(), F.greatest(F.col("grade"), F.lit(threshold))).otherwise(F.col("grade"))).drop("_b", "_names")
+
+
+def ends_with_subject(query: Column, text: Column, topics: Sequence[str], common: Sequence[str] = (), tail: int = 300) -> Column:
+    """Whether a subject word of the query stands only in the text's last characters, so that its table follows in the next chunk."""
+    n = F.length(text)
+    want = F.filter(F.array_distinct(tokens(query)), lambda w: ~w.rlike(r"^\d+$") & ~w.isin(*topics, *common, ""))
+    end = tokens(F.substring(text, F.greatest(n - tail + 1, F.lit(1)), F.lit(tail)))
+    body = tokens(F.substring(text, F.lit(1), F.greatest(n - tail, F.lit(0))))
+    return F.coalesce(F.size(F.array_except(F.array_intersect(want, end), body)) > 0, F.lit(False))
+
+
+def with_continuations(hits: DataFrame, chunks: DataFrame, topics: Sequence[str], query_key: str = "query_id") -> DataFrame:
+    """``hits`` (query, text, source_id, chunk_index, rank) with the chunk that goes on after those that end with the subject.
+
+    Such pairs come first, in order; a chunk that is a hit already is not added. ``pos`` counts from 1.
+    """
+    goes_on = hits.filter(ends_with_subject(F.col("query"), F.col("text"), topics))
+    after = chunks.select(F.col("source_id"), (F.col("chunk_index") - 1).alias("chunk_index"), F.col("chunk_id").alias("next_id"))
+    pairs = goes_on.join(after, ["source_id", "chunk_index"]).select(query_key, F.col("chunk_id").alias("first"), "next_id", "rank")
+    pairs = pairs.join(hits.select(query_key, F.col("chunk_id").alias("next_id")), [query_key, "next_id"], "left_anti").groupBy(query_key, "first").agg(F.min("next_id").alias("next_id"), F.min("rank").alias("rank"))
+    pairs = pairs.groupBy(query_key, "next_id").agg(F.min_by("first", "rank").alias("first"), F.min("rank").alias("rank"))
+    own = hits.join(pairs.select(query_key, F.col("first").alias("chunk_id"), F.lit(True).alias("paired")), [query_key, "chunk_id"], "left").select(query_key, "chunk_id", "rank", F.coalesce("paired", F.lit(False)).alias("paired"), F.lit(0).alias("sub"))
+    added = pairs.select(query_key, F.col("next_id").alias("chunk_id"), "rank", F.lit(True).alias("paired"), F.lit(1).alias("sub"))
+    w = Window.partitionBy(query_key).orderBy(F.desc("paired"), "rank", "sub", "chunk_id")
+    return own.unionByName(added).withColumn("pos", F.row_number().over(w)).select(query_key, "chunk_id", "pos", "paired")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftmill.functions import html as H
+from weftmill.functions import meta as M
 from weftmill.functions import text as T
 from weftmill.functions import urls as U
 from weftmill.operators import chunk, clean, crawl
@@ -128,7 +130,7 @@ def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
     kept as (select l.page_id, l.pos, l.line, length(regexp_extract(l.line, '^(#{{1,6}})\\s', 1)) as level, trim(l.line) = '' as blank from lines l left join bad b on b.site = l.site and b.form = {_FORM.format('l.line')} where b.form is null),
     next as (select *, (select min(k.pos) from kept k where k.page_id = kept.page_id and k.pos > kept.pos and not k.blank) as after from kept),
     body as (select n.page_id, n.pos, n.line from next n left join kept a on a.page_id = n.page_id and a.pos = n.after where n.level = 0 or (n.after is not null and (a.level = 0 or a.level > n.level)))
-    select p.page_id, trim(regexp_replace(coalesce(string_agg(b.line, chr(10) order by b.pos), ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ') as clean
+    select p.page_id, trim(regexp_replace(coalesce(string_agg(b.line, chr(10) order by b.pos), ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) as clean
     from extracted_pages p left join body b using (page_id) where p.text is not null group by p.page_id
 """)
 def boilerplate_stripped(spark: SparkSession, d: str) -> DataFrame:
@@ -285,3 +287,47 @@ def fetch_plan(spark: SparkSession, d: str) -> DataFrame:
     stored = table(spark, d, "seeds").filter("run_id = 9").groupBy("url").agg(F.max("remote_modified").alias("remote_modified")).join(table(spark, d, "sources").select("url", F.col("index_status").alias("status")), "url")
     hosts = [r.site for r in table(spark, d, "sources").select("site").distinct().orderBy("site").limit(50).collect()]
     return crawl.fetch_plan(seeds, stored, hosts, ["ads.example"])
+
+
+@query()
+def document_titles(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "extracted_docs").join(table(spark, d, "sources").select("source_id", F.col("title").alias("listed")), "source_id", "left")
+    return files.select("file_id", M.document_title(F.col("url"), F.col("listed"), F.col("title")).alias("title"))
+
+
+@query(f"""
+    select source_id, coalesce(epoch_us(published_at), case when regexp_extract(url, '/wp-content/uploads/(\\d{{4}})/(\\d{{2}})/', 1) <> ''
+      then epoch_us(make_timestamp(cast(regexp_extract(url, '/wp-content/uploads/(\\d{{4}})/(\\d{{2}})/', 1) as int), cast(regexp_extract(url, '/wp-content/uploads/(\\d{{4}})/(\\d{{2}})/', 2) as int), 1, 0, 0, 0)) end) as us from sources
+""")
+def best_dates(spark: SparkSession, d: str) -> DataFrame:
+    """The stated date of each source, else that of its upload path."""
+    stated = F.date_format("published_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return table(spark, d, "sources").select("source_id", M.best_micros(stated, F.col("url"), F.lit("")).alias("us"))
+
+
+@query("""
+    select page_id, case when trim(coalesce(section, ''), ' ') = '' then trim(coalesce(title, ''), ' ') when trim(coalesce(title, ''), ' ') = '' or contains(trim(section, ' '), trim(title, ' ')) then trim(section, ' ') else trim(section, ' ') || ' › ' || trim(title, ' ') end as header from extracted_pages
+""")
+def chunk_headers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "extracted_pages").select("page_id", M.chunk_header(F.col("section"), F.col("title")).alias("header"))
+
+
+@query()
+def source_labels(spark: SparkSession, d: str) -> DataFrame:
+    c = [F.col(x) for x in ("title", "section", "academic_year", "url", "content_type")]
+    return table(spark, d, "sources").select("source_id", M.source_label(*c).alias("label"))
+
+
+@query()
+def typed_languages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", M.answer_language(F.col("lang"), F.col("text")).alias("language"))
+
+
+@query()
+def html_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Extracted pages written as HTML and read again, as the tables hold no HTML."""
+    p = table(spark, d, "extracted_pages").filter("text is not null")
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), "\n", "</p><p>")
+    anchors = F.array_join(F.transform("links", lambda l: F.concat(F.lit('<a href="'), l["url"], F.lit('">'), F.coalesce(l["text"], F.lit("")), F.lit("</a>"))), " ")
+    page = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><nav>"), F.coalesce(anchors, F.lit("")), F.lit("</nav><article><p>"), body, F.lit("</article><footer>"), F.coalesce("footer", F.lit("")), F.lit("</footer></body></html>"))
+    return p.select("page_id", H.extracted(page, F.col("url")).alias("x")).select("page_id", "x.title", "x.text", F.size("x.links").alias("n_links"))

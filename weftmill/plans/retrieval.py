@@ -254,3 +254,32 @@ def no_information(spark: SparkSession, d: str) -> DataFrame:
 def translation_gaps(spark: SparkSession, d: str) -> DataFrame:
     """What of a chunk's addresses and digits its heading lacks."""
     return table(spark, d, "chunks").select("chunk_id", facts.missing_items(F.col("text"), F.col("heading")).alias("missing"))
+
+
+@query()
+def people_first(spark: SparkSession, d: str) -> DataFrame:
+    """Hits with those first that name whom the question's heading names."""
+    people = table(spark, d, "extracted_pages").filter("title like '%, Department of %'").select(F.regexp_extract("title", "^([^,]*),", 1).alias("name"))
+    h = search.graded(_hits(spark, d), False).withColumn("is_profile", F.coalesce(F.col("heading").startswith("About "), F.lit(False)))
+    named = search.people_named(_questions(_chunks(spark, d)), people)
+    return search.people_first(h, named).select("query_id", "chunk_id", "grade", F.round("rank_score", 6).alias("score"))
+
+
+@query()
+def continuations(spark: SparkSession, d: str) -> DataFrame:
+    c = _chunks(spark, d)
+    hits = search.bm25(_questions(c), c, 12).join(_questions(c), "query_id").join(c, "chunk_id")
+    return search.with_continuations(hits, c, guard.TOPICS)
+
+
+@query()
+def best_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Of each asking chunk's hits other than itself the one that shares most of its words."""
+    c = _chunks(spark, d)
+    hits = search.bm25(_questions(c), c, 12).join(c.select("chunk_id", "text"), "chunk_id").join(c.select(F.col("chunk_id").alias("query_id"), F.col("text").alias("answer")), "query_id")
+    return facts.best_source(hits.filter("chunk_id <> query_id"))
+
+
+@query()
+def stale_answers(spark: SparkSession, d: str) -> DataFrame:
+    return facts.stale_since(_hits(spark, d)).select("query_id", F.round("age", 2).alias("age"))
