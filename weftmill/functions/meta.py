@@ -85,7 +85,7 @@ def typed_language(text: Column, preferred: Column | None = None) -> Column:
     letters = F.size(F.regexp_extract_all(text, F.lit(r"\p{L}"), F.lit(0)))
     counts = F.array(*[F.struct(count_in(text, f"\\x{{{a:x}}}-\\x{{{b:x}}}").alias("n"), F.lit(-i).alias("at"), F.lit(lang).alias("lang")) for i, (lang, (a, b)) in enumerate(SCRIPTS.items())])
     top = F.array_max(counts)
-    lang = F.when((letters == 0) | (top["n"] < F.greatest(F.lit(2.0), letters * 0.3)), "en").otherwise(top["lang"])
+    lang = F.when(text.isNull() | (letters == 0) | (top["n"] < F.greatest(F.lit(2.0), letters * 0.3)), "en").otherwise(top["lang"])
     if preferred is not None:
         lang = F.when((lang == "hi") & (preferred == "mr"), "mr").otherwise(lang)
     return F.coalesce(lang, F.lit("en"))
