@@ -39,6 +39,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for costly work on each row.
+
+    Only an input of fewer splits than cores is moved, which is a small one; larger ones stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of a folder of Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
