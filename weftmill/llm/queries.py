@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmill.llm import language, mainbody, mixture, ocr, repeats, residue, skeleton, split, tokens
-from weftmill.shared import staged, table
+from weftmill.shared import spread, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return mainbody.template_lines(table(spark, d, "extracted_pages"))
+    return mainbody.template_lines(spread(table(spark, d, "extracted_pages")))
 
 
 def p1_body(spark: SparkSession, d: str) -> DataFrame:
-    return mainbody.main_body(table(spark, d, "extracted_pages"))
+    return mainbody.main_body(spread(table(spark, d, "extracted_pages")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,11 +26,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.labelled_segments(table(spark, d, "extracted_pages"), table(spark, d, "lang_samples"))
+    return language.labelled_segments(spread(table(spark, d, "extracted_pages")), table(spark, d, "lang_samples"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.repeated_lines(table(spark, d, "extracted_pages"), ["text", "footer"])
+    return repeats.repeated_lines(spread(table(spark, d, "extracted_pages")), ["text", "footer"])
 
 
 def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -67,12 +67,12 @@ def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encoded(table(spark, d, "documents"))
+    return tokens.encoded(spread(table(spark, d, "documents")))
 
 
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Whether each document's ids decode to its text."""
-    docs = table(spark, d, "documents").select("doc_id", "text", tokens.token_ids(F.col("text")).alias("ids"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", "text", tokens.token_ids(F.col("text")).alias("ids"))
     return docs.select("doc_id", F.size("ids").alias("n_ids"), tokens.decodes(F.col("ids"), F.col("text")).alias("same"))
 
 
@@ -92,13 +92,13 @@ SQL: dict[str, str] = {
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     return docs.filter(F.size(residue.residue(F.col("text"))) > 0).select("doc_id")
 
 
 def p10_residue(spark: SparkSession, d: str) -> DataFrame:
     """Each residue sentence, with its kind."""
-    docs = table(spark, d, "documents").select("doc_id", F.explode(residue.residue(F.col("text"))).alias("r"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.explode(residue.residue(F.col("text"))).alias("r"))
     return docs.select("doc_id", "r.kind", "r.sentence", F.round("r.share", 6).alias("share"))
 
 
@@ -106,11 +106,11 @@ QUERIES |= {f.__name__: f for f in (p10_found, p10_residue)}
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return ocr.noise(table(spark, d, "extracted_docs"))
+    return ocr.noise(spread(table(spark, d, "extracted_docs")))
 
 
 def p7_text(spark: SparkSession, d: str) -> DataFrame:
-    return ocr.repaired(table(spark, d, "extracted_docs")).select("file_id", "repaired")
+    return ocr.repaired(spread(table(spark, d, "extracted_docs"))).select("file_id", "repaired")
 
 
 QUERIES |= {f.__name__: f for f in (p7_found, p7_text)}
