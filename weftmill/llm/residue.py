@@ -62,15 +62,14 @@ LATIN_FILLER = """
 """
 # Words of sentences that write about placeholders, scripts or errors rather than show them.
 ABOUT = """
-    means meaning word words term called named replaced stands shows shown explains explain learn lesson example syntax template templates
-    variable variables chapter class course syllabus mathematics programming design students subsets set proof scripts sheet print
+    means meaning word words term called named replaced stands shows shown explains explain learn lesson example syntax template templates variable variables chapter syllabus programming scripts
     syntaxe exemple signifie significa ejemplo plantilla exemplo palavra bedeutet beispiel vorlage wort
 """
 
 _NAME = r"[A-Za-z][\w.\- ]{0,40}"
 PLACEHOLDERS = regex.compile(
     rf"«\s*{_NAME}\s*»|&lt;\s*{_NAME}\s*&gt;|\{{\{{\s*{_NAME}\s*\}}\}}|\{{%-?\s*{_NAME}\s*-?%\}}|\$\{{\s*{_NAME}\s*\}}|<[?%]=?\s*\$?{_NAME}\s*;?\s*[?%]>|<<\s*{_NAME}\s*>>|@@{_NAME}@@|__[A-Z][A-Z0-9_.]*[A-Z0-9]__"
-    r"|(?<!\w)%[A-Z][A-Z_.]{2,30}%(?!\w)|\{[a-z]+(?:[_.][a-z]+)*\}|\{\d{1,2}\}|#[A-Z][A-Z_]{2,30}#|\[\[\s*[A-Za-z][\w. ]{0,40}\s*\]\]"
+    r"|(?<!\w)%[A-Z][A-Z_.]{2,30}%(?!\w)|\{[a-z]+(?:[_.][a-z]+)*\}|\{\d{1,2}\}|#[A-Z][A-Z_. ]{2,30}#|\[\[\s*[A-Za-z][\w. ]{0,40}\s*\]\]"
     r"|\[(?:insert|enter|your|add|type)\b[^\]\n]{1,40}\]|\[[A-Z][a-z]+(?:[ .][A-Z][a-z]+){0,3}\]|<[a-z]+(?:[_.][a-z]+)+>|<(?:name|course|venue|principal|department|link|date|title|phone|year|email|address|amount|student|teacher|subject|city)>"
     r"|\[object Object\]|(?<![\w$])undefined(?!\w)|(?<!\w)(?:NaN|null)(?!\w)|(?<![\w.])X{2,8}(?!\w)(?![IVX])"
 )
@@ -121,7 +120,7 @@ class Matcher:
             return None
         marks = list(PLACEHOLDERS.finditer(s))
         words = _WORD.findall(s.lower())
-        if marks and not _mentions(self.about, PLACEHOLDERS.sub(" ", s).lower()):
+        if marks and not _mentions(self.about, PLACEHOLDERS.sub(" ", s)):
             return "placeholder", min(1.0, sum(len(m.group()) for m in marks) / len(s))
         latin = sum(w in self.latin for w in words)
         if len(words) >= 4 and latin >= 0.7 * len(words) and len({w for w in words if w in self.latin and len(w) > 2}) >= 3:
@@ -143,6 +142,7 @@ class Matcher:
 
 
 def _mentions(about: set[str], rest: str) -> bool:
+    """Whether a sentence without its placeholders has one of the words, in lower case: names of subjects don't count."""
     return any(w in about for w in _WORD.findall(rest))
 
 
