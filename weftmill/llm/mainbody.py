@@ -75,9 +75,8 @@ _SPLIT_ROW = regex.compile(r"\s*(?:\||·|::|»|›|>|/|\s{2,}|→|•)\s*")
 _MARK = regex.compile(r"^\s*(#+|[-*•»›]|\d+[.)])\s+")
 _END = regex.compile(r"[.!?।…:;][\"”’)\]]*$")
 _DECOR = regex.compile(r"\s*(?:\.\.\.|…|»)\s*$")
-_ASCII_PUNCT = {ord(c): None for c in "!\"#%&'()*,-./:;?@[\\]_{}"}
+_MARKS = ".,;:!?()-'\"/।"
 _DATUM = re.compile(r"[0-9:,;(]")
-_PUNCT = regex.compile(r"[\p{P}]")
 _SENTENCES = regex.compile(r"[.!?।][\"”’)\]]*(?:\s|$)")
 _LINK_END = regex.compile(r"(?:\.\.\.|…|\(\d{1,2}[./-]\d{1,2}[./-]\d{4}\))\s*$")
 
@@ -87,7 +86,7 @@ PROSE_WORDS, THRESHOLD = 8, 20.0
 BROADCAST_SITES = 20_000
 
 ZONES, BLOCKS, MARKS, FORMS = ["any", "head", "main", "tail"], ["block", "links"], ["p", "h", "li"], ["prose", "data", "bare", "row", "notice", "stamp", "linkhead", "title"]
-_CODES = {f"{z}/{b}/{m}/{f}": ((i * 2 + j) * 3 + k) * 8 + n for i, z in enumerate(ZONES) for j, b in enumerate(BLOCKS) for k, m in enumerate(MARKS) for n, f in enumerate(FORMS)}
+_CODES = {(z, b, m, f): ((i * 2 + j) * 3 + k) * 8 + n for i, z in enumerate(ZONES) for j, b in enumerate(BLOCKS) for k, m in enumerate(MARKS) for n, f in enumerate(FORMS)}
 _PROSE, _DATA, _BARE, _ROW, _TITLE = 0, 1, 2, 3, 7
 
 _LINES = StructType([StructField(n, ArrayType(LongType() if n == "keys" else IntegerType())) for n in ("nos", "codes", "below", "chars", "puncts", "keys")])
@@ -136,11 +135,11 @@ def _parsed(raw: str) -> tuple[str, str, str, int, str, str, bool, int] | None:
         body = _DECOR.sub("", body)
     words = len(body.split())
     linked = line[-1] in ".…)" and bool(_LINK_END.search(line)) or sign in ("»", "›")
-    puncts = len(body) - len(body.translate(_ASCII_PUNCT)) if body.isascii() else len(_PUNCT.findall(body))
+    puncts = sum(map(body.count, _MARKS))
     return "" if not m else "h" if sign[0] == "#" else "li", body, _key(body), words, _form(body, words), sign, linked, puncts
 
 
-def page_lines(text: str, title: str | None) -> list[tuple[int, str, str, int, int, str, int]]:
+def page_lines(text: str, title: str | None) -> list[tuple[int, tuple, str, int, int, str, int]]:
     """(line_no, path, key, characters, punctuation, line in its consistent form, words) of every non-blank line of a page."""
     raw = text.split("\n")
     own = _key(skeleton(title or ""))
@@ -165,7 +164,7 @@ def page_lines(text: str, title: str | None) -> list[tuple[int, str, str, int, i
         elif mark == "h" and form not in ("notice", "stamp") or form == "prose" and mark == "" or i == title_at:
             side = False
         zone = "head" if i < first else "tail" if i > last else "main"
-        path = "/".join([zone if mark != "li" or form != "data" else "any", "links" if side else "block", mark or "p", form if i != title_at else "title"])
+        path = (zone if mark != "li" or form != "data" else "any", "links" if side else "block", mark or "p", form if i != title_at else "title")
         out.append((i, path, key, len(body), puncts, body, words))
     return out
 
@@ -191,12 +190,12 @@ def _page_lines(judge: Callable | None):
                 below, last = [], -1
                 for r, c in zip(reversed(rows), reversed(codes)):
                     below.append(last)
-                    if "/h/" not in r[1]:
+                    if r[1][2] != "h":
                         last = c
                 keys = [xxhash.xxh3_64_intdigest(r[2]) - (1 << 63) if c % 8 == _PROSE else 0 for r, c in zip(rows, codes)]
                 got = [[r[0] for r in rows], codes, below[::-1], [r[3] for r in rows], [r[4] for r in rows], keys]
                 if label:
-                    said = [label(r[5]) if c // 8 % 3 == 0 and r[6] >= PROSE_WORDS and c % 8 in (_PROSE, _DATA, _BARE) else (-1, 0) for r, c in zip(rows, codes)]
+                    said = [label(r[5]) if r[6] >= PROSE_WORDS and c // 8 % 6 == 0 and c % 8 in (_PROSE, _TITLE) else (-1, 0) for r, c in zip(rows, codes)]
                     got += [[a for a, _ in said], [b for _, b in said], [r[6] for r in rows]]
                 out.append(got)
             yield pd.DataFrame(out, columns=names)
@@ -255,7 +254,7 @@ def scored_pages(pages: DataFrame, keep: list[str] = (), judge: Callable | None
 
 def scored_lines(pages: DataFrame) -> DataFrame:
     """``scored_pages`` with a row for each line: (page_id, line_no, path, ratio, template)."""
-    names = F.array(*map(F.lit, _CODES))
+    names = F.array(*[F.lit("/".join(p)) for p in _CODES])
     return scored_pages(pages).select("page_id", F.explode("ls").alias("x")).select("page_id", "x.line_no", F.get(names, F.col("x.code")).alias("path"), "x.ratio", "x.template")
 
 
