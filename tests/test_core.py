@@ -222,6 +222,19 @@ def test_changes_and_merge(spark):
     assert {(r.url, r.t) for r in crawl.merged(a, b, "url").collect()} == {("u", "1"), ("v", "2"), ("w", None), ("z", "1")}
 
 
+def test_fetch_plan_allows_every_site_of_sources(spark, tmp_path):
+    from weftmill.plans import corpus
+
+    sites = [f"a{i:03}.example" for i in range(60)] + ["www.z.example", "ads.example"]
+    urls = [f"https://{s}/p" for s in sites] + ["https://www.a059.example/p", "https://other.example/p", "https://x.ads.example/p"]
+    spark.createDataFrame([(i, u, s, "indexed") for i, (u, s) in enumerate(zip(urls, sites))] + [(99, None, None, None)], "source_id long, url string, site string, index_status string").write.parquet(f"{tmp_path}/sources.parquet")
+    spark.createDataFrame([(10, u, None) for u in urls], "run_id long, url string, remote_modified string").write.parquet(f"{tmp_path}/seeds.parquet")
+    rows = corpus.fetch_plan(spark, str(tmp_path)).collect()
+    got = {r.url: r.action for r in rows}
+    barred = {"https://other.example/p", "https://x.ads.example/p", "https://ads.example/p"}
+    assert len(rows) == len(urls) and got == {u: "skip_domain" if u in barred else "fetch" for u in urls}
+
+
 def test_frontier(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "f string, t string")
     links = lambda e: edges.join(e, edges.f == e.url).select(F.col("t").alias("url"))

@@ -75,14 +75,19 @@ def upload_year(url: Column) -> Column:
     return F.when(y != "", y.cast("int"))
 
 
-def domain_allowed(url: Column, allowed: Sequence[str], blocked: Sequence[str]) -> Column:
-    """Blocked names bar their subdomains too and win; allowed names cover themselves and their www. only."""
+def domain_blocked(url: Column, blocked: Sequence[str]) -> Column:
+    """Blocked names bar their subdomains too; null for null."""
     h = host(url)
     bad = F.lit(False)
     for b in blocked:
         bad = bad | (h == b) | h.endswith("." + b)
-    good = h.isin([x for a in allowed for x in (a, "www." + a)]) if allowed else F.lit(False)
-    return F.coalesce(~bad & good, F.lit(False))
+    return bad
+
+
+def domain_allowed(url: Column, allowed: Sequence[str], blocked: Sequence[str]) -> Column:
+    """Blocked names bar their subdomains too and win; allowed names cover themselves and their www. only."""
+    good = host(url).isin([x for a in allowed for x in (a, "www." + a)]) if allowed else F.lit(False)
+    return F.coalesce(~domain_blocked(url, blocked) & good, F.lit(False))
 
 
 def normal_absolute(url: Column) -> Column:

@@ -37,13 +37,22 @@ def chunk_counts(sources: DataFrame, chunks: DataFrame, source: str = "source_id
     return sources.select(source).join(n, source, "left").select(source, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def fetch_plan(candidates: DataFrame, stored: DataFrame, allowed: Sequence[str], blocked: Sequence[str], key: str = "url") -> DataFrame:
-    """(url, action): skip what is unclassified, barred, blocked or unchanged by its remote date; conditional for known files; else fetch."""
+def fetch_plan(candidates: DataFrame, stored: DataFrame, allowed: Sequence[str] | DataFrame, blocked: Sequence[str], key: str = "url") -> DataFrame:
+    """(url, action): skip what is unclassified, barred, blocked or unchanged by its remote date; conditional for known files; else fetch.
+
+    ``allowed`` is a list, or a table (site) of any number of sites, repeated or not, which is joined by host.
+    """
     known = stored.select(key, F.col("remote_modified").alias("_rm"), F.col("status").alias("_st"), F.lit(True).alias("_known"))
     kind = urls.kind(F.col(key))
+    if isinstance(allowed, DataFrame):
+        names = allowed.filter("site is not null").select(F.explode(F.array("site", F.concat(F.lit("www."), "site"))).alias("_host")).distinct().withColumn("_listed", F.lit(True))
+        candidates = candidates.withColumn("_host", urls.host(F.col(key))).join(names, "_host", "left")
+        ok = F.coalesce(F.col("_listed") & ~urls.domain_blocked(F.col(key), blocked), F.lit(False))
+    else:
+        ok = urls.domain_allowed(F.col(key), allowed, blocked)
     action = (
         F.when(kind.isNull(), "skip_kind")
-        .when(~urls.domain_allowed(F.col(key), allowed, blocked), "skip_domain")
+        .when(~ok, "skip_domain")
         .when(F.col("_st") == "blocked", "skip_blocked")
         .when(F.col("_known") & F.col("remote_modified").isNotNull() & (F.col("remote_modified") == F.col("_rm")), "skip_unchanged")
         .when(F.coalesce("_known", F.lit(False)) & (kind != "html"), "conditional")
