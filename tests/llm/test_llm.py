@@ -115,6 +115,35 @@ def test_blocks_are_repeated_runs_of_lines(spark):
     assert left.text == "own a\nend a"
 
 
+def _brute_blocks(rows, min_urls=6, share=0.15):
+    urls, at = {}, {}
+    for key, url, site, text in rows:
+        urls.setdefault(site, set()).add(url)
+        ks = [k for k in map(repeats.line_key, (text or "").split("\n")) if k]
+        for i in range(len(ks)):
+            for j in range(i + 1, len(ks) + 1):
+                at.setdefault((site, *ks[i:j]), []).append((url, key, ks[i - 1] if i else None, ks[j] if j < len(ks) else None))
+    out = []
+    for (site, *block), places in at.items():
+        if len({p[0] for p in places}) >= max(min_urls, share * len(urls[site])) and not any(len({p[c] for p in places}) == 1 and places[0][c] for c in (2, 3)):
+            out.append((site, len(block), len({p[1] for p in places}), len(places)))
+    return sorted(out)
+
+
+def test_maximal_blocks_of_any_length_against_brute_force(spark):
+    rnd = random.Random(5)
+    runs = [[f"{w} {chr(97 + i)}" for i in range(n)] for w, n in (("menu", 3), ("foot", 5), ("side", 6), ("top", 7), ("end", 9))]
+    rows = []
+    for i in range(60):
+        lines = [x for r in rnd.sample(runs, 3) for x in [f"own {chr(97 + i % 26) * (i // 26 + 1)}", *r[: rnd.choice([len(r)] * 3 + [2])], *rnd.choice([[], ["", "12"], ["loop", "loop", "loop"]])]]
+        rows.append((i, f"https://x/{i % 55}", "ab"[i % 5 == 0], "\n".join(lines)))
+    want = _brute_blocks(rows)
+    assert {3, 5, 6, 7, 9} <= {r[1] for r in want}
+    d = spark.createDataFrame(rows, "page_id long, url string, site string, text string")
+    assert sorted((r.site, r.length, r.pages, r.places) for r in repeats.maximal_blocks(d, ["text"]).collect()) == want
+    assert repeats.maximal_blocks(d.limit(0), ["text"]).count() == 0
+
+
 def test_repeats_of_nothing(spark):
     d = spark.createDataFrame([(1, None, None, None)], "page_id long, url string, site string, text string")
     assert repeats.repeated_lines(d, ["text"]).count() == 0 and repeats.repeated_lines(d.limit(0), ["text"]).count() == 0

@@ -34,9 +34,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Repeated blocks of lines: on how many pages, and how often."""
-    b = repeats.repeated_blocks(table(spark, d, "extracted_pages"), ["text", "footer"])
-    return b.groupBy("site", "in_field", "length", "block").agg(F.countDistinct("key").alias("pages"), F.count("*").alias("places"))
+    """Maximal repeated blocks of lines: on how many pages, and how often."""
+    return repeats.maximal_blocks(spread(table(spark, d, "extracted_pages")), ["text", "footer"])
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:

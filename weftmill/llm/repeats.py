@@ -1,4 +1,4 @@
-"""Lines and blocks of lines repeated across one site's documents, by suffix sorting of line identifiers."""
+"""Lines and blocks of lines repeated across one site's documents, by ranks of their first 1, 2, 4, 8 ... lines."""
 
 from __future__ import annotations
 
@@ -70,10 +70,10 @@ def _needed(pages: DataFrame, url: str, site: str, min_urls: int, min_share: flo
 
 
 def repeated_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, max_lines: int | None = None, key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
-    """(site, in_field, key, line_no, length, block): places where a block of ``length`` lines begins that is on many of the site's urls.
+    """(site, in_field, url, key, pos, line_no, length, block, check): places where a block of ``length`` lines begins that is on many of the site's urls.
 
-    The suffixes of each site's lines are sorted by doubling: after step k two suffixes have the same rank if their first
-    2**k lines are the same, so that a rank is a common prefix. A suffix whose prefix is on too few urls of its site is
+    Lengths are powers of two only; ``maximal_blocks`` has the others. The suffixes of each site's lines are ranked by
+    doubling: after step k two suffixes have the same rank if their first 2**k lines are the same. A suffix whose prefix is on too few urls of its site is
     dropped at once, since no longer one can be on more; the work shrinks with each step and stops when no suffix is
     left, or at ``max_lines``. A block is on many urls if they are at least ``min_urls`` and ``min_share`` of the site's
     distinct urls. Suffixes end with their document. Every step is a count by site, field and rank, partly aggregated
@@ -87,7 +87,7 @@ def repeated_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URL
         on = here.groupBy("site", "in_field", "rank", "check", "url").agg(F.lit(1).alias("one")).groupBy("site", "in_field", "rank", "check").count()
         many = on.join(needed, "site").filter("count >= needed").select("site", "in_field", "rank", "check")
         here = staged(here.join(many, ["site", "in_field", "rank", "check"], "left_semi"), f"block{length}")
-        found.append(here.select("site", "in_field", "key", "pos", "line_no", F.lit(length).alias("length"), F.col("rank").alias("block")))
+        found.append(here.select("site", "in_field", "url", "key", "pos", "line_no", F.lit(length).alias("length"), F.col("rank").alias("block"), "check"))
         if max_lines is not None and length * 2 > max_lines or here.isEmpty():
             break
         # rank of the next 2**k lines beside the rank of these: two rows of one document meet in one aggregate
@@ -102,6 +102,55 @@ def repeated_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URL
     return out
 
 
+_BLOCK = "site string, in_field string, url string, key {key}, length int, a bigint, b bigint, ca bigint, cb bigint, before bigint, after bigint"
+
+
+def _any_length(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each document, every place and length at which both the first and the last 2**k lines are a repeated block."""
+    for pdf in batches:
+        out = []
+        for site, field, url, key, places in zip(pdf["site"], pdf["in_field"], pdf["url"], pdf["key"], pdf["places"]):
+            ranks: dict[int, dict[int, tuple[int, int]]] = {}
+            for x in places:
+                ranks.setdefault(x["length"], {})[x["pos"]] = x["block"], x["check"]
+            one = ranks[1]
+            for size, at in ranks.items():
+                for i, (a, ca) in at.items():
+                    for j in range(i, i + size):
+                        if j not in at:
+                            break  # no longer block is repeated either
+                        b, cb = at[j]
+                        out.append((site, field, url, key, j - i + size, a, b, ca, cb, one.get(i - 1, (None,))[0], one.get(j + size, (None,))[0]))
+        cols = pd.DataFrame(out, columns=["site", "in_field", "url", "key", "length", "a", "b", "ca", "cb", "before", "after"])
+        yield cols.astype({"before": "Int64", "after": "Int64"})
+
+
+def maximal_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
+    """(site, in_field, length, block, pages, places): the maximal blocks of any length that are on many of the site's urls.
+
+    A block is maximal if its places are neither all preceded nor all followed by one same line, so that no longer block
+    has all of them. Blocks of 2**k to 2**(k+1) - 1 lines are the same if their first and their last 2**k lines are, whose
+    ranks ``repeated_blocks`` has. Pages and places count wherever the block stands, also within longer ones. Every repeated
+    block at every place is one row of a count that is partly aggregated before its shuffle; a block of n lines has
+    n * (n + 1) / 2 within it.
+    """
+    # a row is a document of its own, also where keys are repeated
+    rows = pages.select(*{*fields, url, *([site] if site in pages.columns else [])}, F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("key"))
+    found = repeated_blocks(rows, fields, min_urls, min_share, None, "key", url, site)
+    docs = found.groupBy("site", "in_field", "url", "key").agg(F.collect_list(F.struct("pos", "length", "block", "check")).alias("places"))
+    docs = docs.withColumn("key", F.col("key.key"))
+    every = docs.mapInPandas(_any_length, _BLOCK.format(key=docs.schema["key"].dataType.simpleString()))
+    every = every.withColumn("block", F.xxhash64("length", "a", "b")).withColumn("check", F.xxhash64("length", "ca", "cb"))
+    group = ["site", "in_field", "length", "block", "check"]
+    # urls and keys are counted by way of one row each; the lines beside go along as counts, least and greatest
+    by = every.groupBy(*group, "url", "key").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("before", "after") for f in (F.count, F.min, F.max)])
+    on = by.groupBy(*group, "url").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), *[g(f"{c}_{f.__name__}").alias(f"{c}_{f.__name__}") for c in ("before", "after") for f, g in ((F.count, F.sum), (F.min, F.min), (F.max, F.max))])
+    all_ = on.groupBy(*group).agg(F.count("*").alias("urls"), F.sum("pages").alias("pages"), F.sum("n").alias("places"), *[g(f"{c}_{f.__name__}").alias(f"{c}_{f.__name__}") for c in ("before", "after") for f, g in ((F.count, F.sum), (F.min, F.min), (F.max, F.max))])
+    many = all_.join(staged(_needed(pages, url, site, min_urls, min_share), "needed"), "site").filter("urls >= needed")
+    same = lambda c: (F.col(f"{c}_count") == F.col("places")) & (F.col(f"{c}_min") == F.col(f"{c}_max"))
+    return many.filter(~F.coalesce(same("before"), F.lit(False)) & ~F.coalesce(same("after"), F.lit(False))).select("site", "in_field", "length", "block", "pages", "places")
+
+
 def repeated_lines(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
     """(key, in_field, line_no) of every line in a repeated block of any length.
 
