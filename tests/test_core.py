@@ -41,6 +41,22 @@ def test_domains(spark):
     assert [allow(u) for u in ("https://a.org/", "https://www.a.org/", "https://x.a.org/", "https://bad.a.org/", "https://nota.org/", None)] == [True, True, False, False, False, False]
 
 
+def test_script_language_of_every_document_against_brute_force(spark, tmp_path):
+    from weftmill.plans import corpus
+
+    def brute(text):
+        part = text[:5000]
+        n = {lang: sum(a <= ord(c) <= b for c in part) for lang, (a, b) in T.SCRIPTS.items()}
+        lang = max(n, key=n.get)
+        return lang if n[lang] and n[lang] >= 0.3 * sum(c.isascii() and c.isalpha() for c in part) else "en"
+
+    words = ["ଓଡ଼ିଆ ଭାଷା", "বাংলা ভাষা", "தமிழ் மொழி", "اردو زبان", "ગુજરાતી", "हिन्दी", "ਪੰਜਾਬੀ", "తెలుగు", "ಕನ್ನಡ", "മലയാളം", "plain words"]
+    texts = [a + " " + b * n for a in words for b in words for n in (0, 3)] + ["x" * 5000 + "தமிழ்", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.script for r in corpus.script_language(spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts) if t is not None} and set(got.values()) == {*T.SCRIPTS, "en"}
+
+
 @pytest.mark.parametrize("text,want", [("hello there", "en"), ("નમસ્તે", "gu"), ("नमस्ते world this is long english text", "en"), ("123", "en"), (None, None)])
 def test_scripts(spark, text, want):
     assert one(spark, text, T.script_language) == want
