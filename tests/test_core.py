@@ -227,6 +227,16 @@ def test_lockout(spark):
     assert [got[i] for i in range(7)] == ["failed"] * 4 + ["locks"] + ["locked"] * 2 and got[8] == "ok"
 
 
+def test_users_do_not_lock_each_other(spark, tmp_path):
+    from weftmill.plans import relational
+
+    base = dt.datetime(2025, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=i), 20 * (i % 2), "error") for i in range(8)] + [(8 + i, base + dt.timedelta(minutes=i), 7, "error") for i in range(6)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.key, r.id): r.state for r in relational.lockout_states(spark, str(tmp_path)).collect()}
+    assert got == {(str(u), i): "failed" for i, _, u, _ in rows} | {("7", 12): "locks", ("7", 13): "locked"}
+
+
 def test_thinking(spark):
     assert [one(spark, t, usage.without_thinking) for t in ("a<think>b</think>c", "x</think>y", "a <think>open", None)] == ["ac", "y", "a", None]
 

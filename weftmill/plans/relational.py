@@ -155,8 +155,9 @@ def rate_limit_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lockout_states(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("ok", F.col("event_type") != "error").withColumn("who", F.pmod("user_id", F.lit(20)))
-    return usage.lockouts(e, "who", "ts", "event_id")
+    """The state of each user's attempts, an error event being a failure."""
+    e = table(spark, d, "events").withColumn("ok", F.col("event_type") != "error")
+    return usage.lockouts(e, "user_id", "ts", "event_id")
 
 
 @query("""
