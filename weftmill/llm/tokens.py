@@ -2,9 +2,11 @@
 
 The ids of a prefix of a piece end in one definite token: the longest-reaching one that is compatible with the token
 before it, where two tokens are compatible if the merges, run over their joined bytes, give just these two. So the
-encoding is found from left to right, one byte at a time. A token is stable once the encodings of the last L prefixes,
-L being the length of the longest token, all run through it: no later byte can change it, since any later token begins
-among those prefixes. Tokens are emitted as soon as they are stable, and only the last L positions are kept.
+encoding is found from left to right, one byte at a time, and every piece of every length takes this way. The lookahead
+follows from the merge list: whatever comes next, the token that covers the next byte begins here or at one of the
+positions from which the bytes read so far are a proper prefix of some token. A token through which the encodings of all
+these prefixes run is stable and is emitted; only what lies behind the last stable token is kept, at most as many bytes
+as the longest token has twice over.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import functools
 import os
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -26,52 +29,96 @@ TOKENIZERS = os.environ.get("WEFTMILL_TOKENIZERS", "/opt/tokenizers")
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters fed at once; matches that reach the end of a block wait for the next one.
 BLOCK = 1 << 16
-#: Pieces up to this many bytes are remembered, at most so many in a worker.
-SHORT, REMEMBERED = 48, 400_000
+#: How many pieces a worker remembers with the ids the transducer gave them, so that a repeated word is read once.
+REMEMBERED = 400_000
 
 
 class Merges:
-    """A vocabulary as ranks, its longest token, and which tokens may follow each other."""
+    """A vocabulary as ranks: which tokens may follow each other, and how far a token may still reach."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes = {i: t for t, i in self.rank.items()}
-        self.lookahead = max(map(len, self.rank))  # sufficient: see the module's text
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[bytes, list[int]] = {}
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of a short piece by running the merges in order of rank; the definition that all else follows."""
+        self.bytes = [b""] * (max(self.rank.values()) + 1)
+        self.endings = ahocorasick.Automaton()  # the tokens that end at each byte, the longest first
+        for t, i in self.rank.items():
+            self.bytes[i] = t
+            self.endings.add_word(t.decode("latin-1"), (i, len(t)))
+        self.endings.make_automaton()
+        self.longest = max(map(len, self.rank))
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.pairs: dict[int, bool] = {}
+        self.known: dict[str, list[int]] = {}
+
+    @functools.cached_property
+    def open(self) -> frozenset[bytes]:
+        """Bytes that a longer token may begin with: while the text ends in some, what comes before is undecided."""
+        return frozenset(t[:n] for t in self.rank for n in range(1, len(t)))
+
+    def merged(self, piece: bytes, below: int = 1 << 60) -> list[int]:
+        """Ids of a piece by running the merges, in order of rank, up to those of a rank: the definition that all else follows."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            best, at = min((self.rank.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
+            best, at = min((self.rank.get(a + b, below), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if best >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.rank[p] for p in parts]
 
+    def made_of(self, t: int) -> tuple[int, int] | None:
+        """The two tokens that the merges put together to ``t``; None for a single byte and for a token they never make."""
+        if t not in self.halves:
+            two = self.merged(self.bytes[t], t)
+            self.halves[t] = (two[0], two[1]) if len(two) == 2 else None
+        return self.halves[t]
+
+    def reachable(self, t: int) -> bool:
+        return len(self.bytes[t]) == 1 or self.made_of(t) is not None
+
     def compatible(self, a: int, b: int) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+        """Whether no merge across their bound comes before the merges that make the two.
+
+        Their making is undone step by step, the later merge first. Of the tokens that touch the bound at each moment,
+        none may be put together before the left one, or the right one, has become part of a longer token.
+        """
+        key = a << 32 | b
+        ok = self.pairs.get(key)
+        if ok is not None:
+            return ok
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        x, y, left, right = a, b, 1 << 60, 1 << 60
+        while True:
+            across = self.rank.get(self.bytes[x] + self.bytes[y])
+            if across is not None and across < left and across <= right:
+                ok = False
+                break
+            undo_left = len(self.bytes[x]) > 1 and (x > y or len(self.bytes[y]) == 1)
+            if undo_left:
+                left, x = x, self.made_of(x)[1]
+            elif len(self.bytes[y]) > 1:
+                right, y = y, self.made_of(y)[0]
+            else:
+                ok = True
+                break
+        self.pairs[key] = ok
         return ok
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
-        whole = self.rank.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(piece) > SHORT:
-            t = Transducer(self)
-            return [*t.feed(piece), *t.end()]
+    def encode(self, piece: str) -> list[int]:
+        """Ids of one piece; one seen before is not read again."""
         ids = self.known.get(piece)
         if ids is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            ids = self.known[piece] = self.merged(piece)
+            data = piece.encode("utf-8", "surrogatepass")
+            whole = self.rank.get(data)  # the vocabulary's authors take such a piece as its token
+            if whole is not None:
+                ids = [whole]
+            else:
+                t = Transducer(self)
+                ids = [*t.feed(data), *t.end()]
+            if len(piece) <= 256:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = ids
         return ids
 
 
@@ -80,55 +127,62 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.m = merges
-        self.tail = b""  # the last L bytes
-        self.at = 0  # bytes read
-        self.last: dict[int, tuple[int, int]] = {}  # of each kept prefix: its last token and where that begins
-        self.base = 0  # all before is emitted
-        self.waiting: list[tuple[int, int]] = []
+        self.kept = b""  # bytes from the last stable token's end on, and before it as many as the longest token has
+        self.at = self.base = 0  # bytes read; all before is emitted
+        self.last: dict[int, tuple[int, int]] = {}  # of each prefix that may still matter: its last token, where that begins
 
     def feed(self, data: bytes) -> Iterator[int]:
-        m, most = self.m, self.m.lookahead
-        for k in range(len(data)):
-            self.tail = (self.tail + data[k : k + 1])[-most:]
-            self.at += 1
-            for n in range(min(most, self.at, len(self.tail)), 0, -1):
-                start = self.at - n
-                t = m.rank.get(self.tail[-n:])
-                if t is None or start and start not in self.last:
-                    continue
-                if start == 0 or m.compatible(self.last[start][0], t):
-                    self.last[self.at] = (t, start)
-                    break
-            if self.at % most == 0:
+        step = self.m.longest
+        for i in range(0, len(data), step):
+            self._read(data[i : i + step])
+            if self.at - self.base > step:
                 yield from self._stable()
 
+    def _read(self, data: bytes) -> None:
+        """The last token of every new prefix."""
+        m, last, pairs = self.m, self.last, self.m.pairs
+        text = self.kept + data
+        shift, seen = self.at - len(self.kept), self.at
+        for end, (t, n) in m.endings.iter(text.decode("latin-1")):
+            p = end + 1 + shift
+            if p <= seen or p in last:
+                continue
+            start = p - n
+            if start == 0:
+                if m.reachable(t):
+                    last[p] = (t, 0)
+            elif (before := last.get(start)) is not None:
+                ok = pairs.get(before[0] << 32 | t)
+                if ok or ok is None and m.reachable(t) and m.compatible(before[0], t):
+                    last[p] = (t, start)
+        self.at += len(data)
+        self.kept = text
+
     def _stable(self) -> Iterator[int]:
-        """Emits what the encodings of the last L prefixes have in common, and forgets what lies before."""
-        most = self.m.lookahead
-        low = max(1, self.at - most + 1)
-        meet = {p for p in range(low, self.at + 1)}
+        """Emits what the encodings of all prefixes at which the token over the next byte may begin have in common."""
+        text, at, most = self.kept, self.at, self.m.longest
+        meet = {at} | {at - n for n in range(1, min(most, len(text)) + 1) if at - n >= self.base and text[-n:] in self.m.open}
         while len(meet) > 1:
             top = max(meet)
             meet.discard(top)
-            meet.add(max(self.last[top][1], self.base))
+            meet.add(max(self.last[top][1], self.base) if top > self.base else self.base)
         p = meet.pop()
-        if p > self.base:
-            out, q = [], p
-            while q > self.base:
-                t, q = self.last[q]
-                out.append(t)
-            yield from reversed(out)
-            self.base = p
+        yield from self._back(p)
+        low = at - 2 * most
+        self.kept = text[-2 * most :]
         for q in [q for q in self.last if q < min(self.base, low)]:
             del self.last[q]
 
-    def end(self) -> Iterator[int]:
-        out, q = [], self.at
+    def _back(self, p: int) -> Iterator[int]:
+        out, q = [], p
         while q > self.base:
             t, q = self.last[q]
             out.append(t)
-        self.base = self.at
-        yield from reversed(out)
+        self.base = max(p, self.base)
+        return reversed(out)
+
+    def end(self) -> Iterator[int]:
+        yield from self._back(self.at)
 
 
 class Encoder:
@@ -137,7 +191,8 @@ class Encoder:
     _GROW = {"L": regex.compile(r"\p{L}+"), "N": regex.compile(r"\p{N}+"), "O": regex.compile(r"[^\s\p{L}\p{N}]+")}
 
     def __init__(self, merges: Merges):
-        self.m, self.find = merges, regex.compile(PIECES).finditer
+        pieces = regex.compile(PIECES)
+        self.m, self.find, self.every = merges, pieces.finditer, pieces.findall
 
     def blocks(self, text: str, size: int = BLOCK) -> Iterator[int]:
         """Ids of a text of any length; ``size`` changes memory, never the ids."""
@@ -151,19 +206,19 @@ class Encoder:
             if open_ is not None:  # a piece is open: its class goes on as long as it does
                 more = self._GROW[kind].match(part)
                 n = more.end() if more else 0
-                yield from open_.feed(part[:n].encode("utf-8"))
+                yield from open_.feed(part[:n].encode("utf-8", "surrogatepass"))
                 if n == len(part) and not final:
                     continue
                 yield from open_.end()
                 open_, part = None, part[n:]
             for x in self.find(part):
                 if x.end() < len(part) - 2 or final:
-                    yield from self.m.encode(x.group().encode("utf-8"))
+                    yield from self.m.encode(x.group())
                     continue
                 s, kind = x.group(), self._kind(x.group())
                 if kind and len(s) > 64:
                     open_ = Transducer(self.m)
-                    yield from open_.feed(s.encode("utf-8"))
+                    yield from open_.feed(s.encode("utf-8", "surrogatepass"))
                     if x.end() < len(part):  # it has ended, with a character or two after it
                         yield from open_.end()
                         open_, rest = None, part[x.end() :]
@@ -177,9 +232,9 @@ class Encoder:
 
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
-        encode = self.m.encode
-        for x in self.find(text):
-            out += encode(x.group().encode("utf-8"))
+        encode, known = self.m.encode, self.m.known
+        for piece in self.every(text):
+            out += known.get(piece) or encode(piece)
         return out
 
 
