@@ -1,18 +1,18 @@
 """The main body of web pages by tag-path ratios.
 
-The pages come as text, so a line's path is read off what the markup left: the part of the page it stands in, the block
-it is nested in (a list of links below its heading), its mark (heading, list item, row of links, paragraph) and its form.
-Text length and punctuation are summed for each path over all pages and over each site, divided by the number of lines,
-fused, smoothed along each page, and paths below a threshold are what the template adds.
+The pages come as text, so a line's path is read off what the markup left: its mark (heading, list item, paragraph) and
+whether it holds no sentence, one, or several. Text length and punctuation are summed for each path over all pages and over
+each site, divided by the number of nodes and fused; lines that a site repeats on many of its urls, or many sites but for
+their own name, are paths of their own and have no text. Ratios are then smoothed along the tree that the page's lines stand in: a heading with
+what it is the heading of, a list with the paragraph it hangs on, a single sentence with the paragraphs beside it. Lines
+below a threshold are what the template adds. No words or phrases are looked for.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Callable, Iterator
 
-import ahocorasick
 import pandas as pd
 import regex
 import xxhash
@@ -24,181 +24,105 @@ from weftmill.llm.repeats import MIN_SHARE, MIN_URLS
 from weftmill.llm.skeleton import Letters, skeleton
 from weftmill.shared import staged
 
-# Headings of lists of other pages.
-LINK_HEADINGS = """
-    related links | in this section | quick links | latest circulars | popular this week | you may also like | recent posts | more from this department
-    related pages | related articles | related posts | see also | read next | latest news | latest posts | recent articles | popular posts | most read | trending | more news | more stories
-    announcements | important links | useful links | categories | tags | archives | on this page | share this | follow us | quick access | navigation | menu
-    articles liés | à lire aussi | liens utiles | actualités récentes | ähnliche beiträge | weitere artikel | aktuelle beiträge | nützliche links | schnellzugriff
-    enlaces relacionados | enlaces de interés | entradas recientes | también te puede interesar | noticias recientes | links relacionados | leia também | posts recentes | links úteis
-    संबंधित लिंक | त्वरित लिंक | ताज़ा समाचार | नवीनतम सूचनाएँ | संबंधित दुवे | महत्त्वाचे दुवे | ताज्या बातम्या | સંબંધિત લિંક્સ | ઝડપી લિંક્સ | તાજા સમાચાર
-"""
-# What notices about consent, rights and liability, promotion and sharing say, as patterns over lower case.
-NOTICES = [
-    r"\bcookies?\b(?!\s+\w*bak)(?=.*(accept|reject|consent|read more|privacy|policy|visit|remember|experience|help us|sign|load|setting|got it|understand|continu|agree|medir|mesur|messen|nutzung|refus|recus|rechace|utiliza|verwendet|dépose|usa))",
-    r"(accept|reject|manage|settings|we use|our (portal|site|website)).{0,60}\bcookies?\b(?!\s+\w*bak)", r"small files on your device", r"\bdata notice\b", r"^.{0,80}\bprivacy policy\.?$", r"\baccept all\b",
-    r"कुकी(ज़|ज|़)?", r"કૂકી", r"कुकीज",
-    r"\ball rights reserved\b", r"\bmay not be reproduced\b", r"\bnot responsible for\b.{0,30}\b(content|links)\b", r"\baccepts? no (liability|responsibility)\b", r"\bunauthori[sz]ed (copying|use|reproduction)\b",
-    r"^\W*(©|\(c\)|copyright\b\W*(©|\(c\)|\d{4}))", r"\bpowered by\b", r"\bsite by\b", r"\bterms (of use|and conditions|of service)\b.{0,40}$",
-    r"\btoute reproduction\b", r"\btous droits réservés\b", r"\balle rechte\b", r"\btodos los derechos\b", r"\btodos os direitos\b", r"\bdireitos\b.{0,60}\b(reservados|pertencem)\b", r"सर्वाधिकार|हक्क.{0,40}(राखीव|सुरक्षित)|સર્વ હક|સર્વાધિકાર|हक्क .{0,60}कडे",
-    r"^\W*(follow|like|find|join)\s+(us|.{2,60}?)\s+(on|for)\b.{0,60}$", r"^\W*(subscribe|sign up)\b.{0,80}\b(newsletter|updates|alerts)\b", r"^\W*download the\b.{0,60}\bapp\b", r"^\W*enquire now\b", r"^\W*apply now\b", r"\bour helpline\b", r"\badmissions open at\b",
-    r"^\W*(liked this|share (this|on|with)|send to a friend|tell a friend|print this|save as pdf)\b", r"\btell a friend\b|\bcopy link\b|\bshare this\b",
-    r"साझा करें$|सांझा करा|मित्रांना पाठवा|મિત્રો સાથે વહેંચો|मित्रों के साथ", r"^\W*(compartir|partager|partilhar|compartilhar|teilen|seite weiterempfehlen)\b",
-]
-# Bylines, counters, trails, contact and address lines, as patterns over lower case.
-STAMPS = [
-    r"^\W*(posted|written|published|updated|edited|reviewed|last (updated|modified))\b.{0,60}(\d|\bby\b)", r"\b\d+\s*(min(ute)?s? read|comments?|views|visitors?|shares|likes)\b", r"\bvisitors?\s*:\s*\d", r"^[^.!?]{0,40}/\s*\d{1,2}[ ./-]\w+[ ./-]\d{2,4}\s*/", r"^\W*by\s+[^.]{3,40}\s[|·/-]\s",
-    r"^\W*you are here\b", r"^\W*(phone|tel|fax|call|e-?mail|mail|whatsapp)\b\.?\s*[:+]", r"\+\d{2}[\d\s-]{7,}", r"^\S+@\S+\.\w{2,}$", r"^\W*\d{1,4}[a-z]?,?\s+[\p{L} .'-]{2,40}\b(road|street|marg|nagar|lane|avenue|sector|colony|rue|straße|calle|rua)\b[^.!?]{0,60}$",
-    r"^\W*(read more|view all|older (entries|posts)|newer (entries|posts)|next|previous|back to top|show more|load more|see all|more)\s*[»›>…]*\W*$",
-]
-_NOTICE, _STAMP = regex.compile("|".join(f"(?:{p})" for p in NOTICES)), regex.compile("|".join(f"(?:{p})" for p in STAMPS))
-# What a line must hold for the patterns of notices, and of stamps, to be tried on it.
-NOTICE_HINTS = """
-    cookie | small files | data notice | privacy | accept all | कुकी | કૂકી | कुकीज | reserved | reproduced | responsible | liability | responsibility | unauthor | copyright | © | (c) | powered by | site by | terms of | terms and
-    reproduction | droits | rechte | derechos | direitos | धिकार | राखीव | सुरक्षित | ધિકાર | हक्क | हक | સર્વ | હક | follow | like us | like | find us | join us | subscribe | sign up | download the | enquire now | apply now | helpline | admissions open
-    share | send to a | tell a | print this | save as | copy link | साझा | सांझा | मित्र | મિત્ર | compartir | partager | partilhar | compartilhar | teilen | empfehlen
-"""
-STAMP_HINTS = """
-    posted | written | published | updated | edited | reviewed | modified | min read | minute read | minutes read | mins read | comment | views | visitor | shares | likes | / | you are here | phone | tel | fax | call | mail | whatsapp | + | @
-    road | street | marg | nagar | lane | avenue | sector | colony | rue | straße | calle | rua
-"""
 _LETTERS = Letters(None)
-
-
-def _key(line: str) -> str:
-    """Letters of a line in its consistent form, in lower case."""
-    return line.lower().translate(_LETTERS)
-
-
-_HEADS = {_key(skeleton(x)) for line in LINK_HEADINGS.strip().split("\n") for x in line.split("|")}
-_SPLIT_ROW = regex.compile(r"\s*(?:\||·|::|»|›|>|/|\s{2,}|→|•)\s*")
 _MARK = regex.compile(r"^\s*(#+|[-*•»›]|\d+[.)])\s+")
-_END = regex.compile(r"[.!?।…:;][\"”’)\]]*$")
 _DECOR = regex.compile(r"\s*(?:\.\.\.|…|»)\s*$")
 _MARKS = ".,;:!?()-'\"/।"
-_DATUM = re.compile(r"[0-9:,;(]")
 _SENTENCES = regex.compile(r"[.!?।][\"”’)\]]*(?:\s|$)")
-_LINK_END = regex.compile(r"(?:\.\.\.|…|\(\d{1,2}[./-]\d{1,2}[./-]\d{4}\))\s*$")
 
-#: Words of a paragraph at least; the fused ratio below which a path is the template's.
-PROSE_WORDS, THRESHOLD = 8, 20.0
-#: Sites whose ratios are broadcast at most (each has fewer than 200 paths); beyond that they are joined by shuffling.
+#: Words of a sentence at least, and of a prose line; the ratio below which a line is the template's.
+PROSE_WORDS, THRESHOLD = 8, 120.0
+#: The share of all urls on which a line without or with one sentence counts as repeated, whatever the site; also at least MIN_URLS.
+ALL_SHARE = 0.002
+#: Lines of a site that count as much as the whole corpus in a path's ratio.
+WEIGHT = 50.0
+#: Sites whose ratios are broadcast at most (each has nine paths and few repeated lines); beyond that they are joined by shuffling.
 BROADCAST_SITES = 20_000
 
-ZONES, BLOCKS, MARKS, FORMS = ["any", "head", "main", "tail"], ["block", "links"], ["p", "h", "li"], ["prose", "data", "bare", "row", "notice", "stamp", "linkhead", "title"]
-_CODES = {(z, b, m, f): ((i * 2 + j) * 3 + k) * 8 + n for i, z in enumerate(ZONES) for j, b in enumerate(BLOCKS) for k, m in enumerate(MARKS) for n, f in enumerate(FORMS)}
-_PROSE, _DATA, _BARE, _ROW, _TITLE = 0, 1, 2, 3, 7
-
-_LINES = StructType([StructField(n, ArrayType(LongType() if n == "keys" else IntegerType())) for n in ("nos", "codes", "below", "chars", "puncts", "keys")])
-
+MARKS, SHAPES = ["p", "h", "li"], ["line", "sentence", "prose"]
+#: A path's code is 3 * mark + shape, and 9 more for the page's title.
+_P, _H, _LI, _SENTENCE, _TITLE = 0, 1, 2, 1, 9
 
-def _hints(block: str) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for line in block.strip().split("\n"):
-        for x in line.split(" | "):
-            a.add_word(skeleton(x.strip()), 1)
-    a.make_automaton()
-    return a
+_NAMES = ("nos", "codes", "near", "up", "down", "chars", "puncts", "keys")
+_LINES = StructType([StructField(n, ArrayType(LongType() if n == "keys" else IntegerType())) for n in _NAMES])
 
 
-_NOTICE_HINTS, _STAMP_HINTS = _hints(NOTICE_HINTS), _hints(STAMP_HINTS)
-
-
-def _form(line: str, words: int) -> str:
-    ends = len(_SENTENCES.findall(line))
-    if ends <= 2 or words < 30:
-        low = " ".join(line.lower().split())
-        if next(_NOTICE_HINTS.iter(low), None) and _NOTICE.search(low):
-            return "notice"
-        if ends <= 2 and words < 25 and (words <= 4 or low.startswith("by ") or next(_STAMP_HINTS.iter(low), None)) and _STAMP.search(low):
-            return "stamp"
-    if words >= PROSE_WORDS and (_END.search(line) or ends >= 1):
-        return "prose"
-    parts = [p for p in _SPLIT_ROW.split(line) if p.strip()]
-    if len(parts) >= 2 and all(len(p.split()) <= 4 for p in parts):
-        return "row"
-    if _DATUM.search(line):
-        return "data"
-    return "prose" if words >= 2 * PROSE_WORDS else "bare"
+def _key(line: str) -> str:
+    """Letters of a line in its consistent form, in lower case."""
+    return line.lower().translate(_LETTERS)
 
 
 @functools.lru_cache(100_000)
-def _parsed(raw: str) -> tuple[str, str, str, int, str, str, bool, int] | None:
-    """(mark, body, key, words, form, sign, whether it looks like a link, punctuation) of a line; None if it is blank."""
+def _parsed(raw: str) -> tuple[int, int, str, str, int, int] | None:
+    """(mark, shape, body, key, words, punctuation) of a line; None if it is blank."""
     line = skeleton(raw).strip()
     if not line:
         return None
     m = _MARK.match(line)
-    sign = m.group(1) if m else ""
     body = line[m.end() :] if m else line
     if line[-1] in ".…»":
         body = _DECOR.sub("", body)
     words = len(body.split())
-    linked = line[-1] in ".…)" and bool(_LINK_END.search(line)) or sign in ("»", "›")
-    puncts = sum(map(body.count, _MARKS))
-    return "" if not m else "h" if sign[0] == "#" else "li", body, _key(body), words, _form(body, words), sign, linked, puncts
-
-
-def page_lines(text: str, title: str | None) -> list[tuple[int, tuple, str, int, int, str, int]]:
-    """(line_no, path, key, characters, punctuation, line in its consistent form, words) of every non-blank line of a page."""
-    raw = text.split("\n")
-    own = _key(skeleton(title or ""))
-    rows = [_parsed(x) for x in raw]
-    prose = [r is not None and r[0] == "" and r[4] == "prose" for r in rows]
-    opening = next((i for i, p in enumerate(prose) if p), len(rows))
-    title_at = next((i for i, r in enumerate(rows) if r and (r[2] == own and own and (r[0] == "h" or r[0] == "" and i < opening) or r[5] == "#")), None)
-    first = min([i for i in [title_at, next((i for i, p in enumerate(prose) if p), None)] if i is not None], default=len(rows))
-    last = max([i for i, p in enumerate(prose) if p], default=-1)
-    out, side = [], False
-    for i, r in enumerate(rows):
-        if r is None:
-            side = False
-            continue
-        mark, body, key, words, form, _, _, puncts = r
-        if mark == "li" and form == "row":
-            form = "data"  # a slash or a double space within an item parts no links
-        if key in _HEADS and words <= 8 and mark in ("", "h") and i != title_at:
-            side, form = True, "linkhead"
-        elif mark in ("", "h") and words <= 8 and form in ("bare", "data") and i != title_at and _links_below(rows, i):
-            side, form = True, "linkhead"
-        elif mark == "h" and form not in ("notice", "stamp") or form == "prose" and mark == "" or i == title_at:
-            side = False
-        zone = "head" if i < first else "tail" if i > last else "main"
-        path = (zone if mark != "li" or form != "data" else "any", "links" if side else "block", mark or "p", form if i != title_at else "title")
-        out.append((i, path, key, len(body), puncts, body, words))
-    return out
-
-
-def _links_below(rows: list, i: int) -> bool:
-    """Whether the two lines after a short line look like links to other pages."""
-    below = rows[i + 1 : i + 3]
-    return len(below) == 2 and all(r is not None and r[6] for r in below)
+    shape = min(2, len(_SENTENCES.findall(body))) if words >= PROSE_WORDS else 0
+    mark = _P if not m else _H if m.group(1)[0] == "#" else _LI
+    return mark, shape, body, _key(body), words, sum(map(body.count, _MARKS))
+
+
+def page_lines(text: str, title: str | None) -> tuple[list[int], list[tuple], list[int], list[int], list[int], int]:
+    """(line numbers, parsed lines, and for each the place of the line it is smoothed with, of the paragraphs above and
+    below it, -1 where there is none; place of the title) of the non-blank lines of a page."""
+    nos, rows = [], []
+    for i, x in enumerate(text.split("\n")):
+        r = _parsed(x)
+        if r is not None:
+            nos.append(i)
+            rows.append(r)
+    n = len(rows)
+    own = _key(skeleton(title or "").strip())
+    prose = next((k for k, r in enumerate(rows) if r[0] == _P and r[1]), n)
+    title_at = next((k for k, r in enumerate(rows) if own and r[3] == own and (r[0] == _H or r[0] == _P and k < prose)), -1)
+    tied = [0 < k < n and nos[k - 1] == nos[k] - 1 for k in range(n + 1)]  # directly below another line
+    up, down, near = [-1] * n, [-1] * n, [-1] * n
+    for k in range(n):  # a list hangs on the paragraph above its first item, and what follows the list on the same
+        if tied[k]:
+            up[k] = {_P: k - 1, _LI: near[k - 1], _H: -1}[rows[k - 1][0]]
+        if rows[k][0] == _LI:
+            near[k] = up[k]
+    for k in reversed(range(n)):  # a heading is that of the first line below it that is none
+        if tied[k + 1]:
+            down[k] = {_P: k + 1, _LI: -1, _H: near[k + 1]}[rows[k + 1][0]]
+        if rows[k][0] == _H:
+            near[k] = down[k]
+    return nos, rows, near, up, down, title_at
 
 
 def _page_lines(judge: Callable | None):
     """The function that reads pages; ``judge`` makes what labels a paragraph with two numbers, once in each worker."""
-    names = [*_LINES.names, *(["first", "second", "words"] if judge else [])]
+    more = ["first", "second", "words"] if judge else []
+    kinds = StructType([*_LINES.fields, *[StructField(n, ArrayType(IntegerType())) for n in more]])
+
+    @F.pandas_udf(kinds)
+    def read(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        label = functools.lru_cache(50_000)(judge()) if judge else None
+
+        @functools.lru_cache(100_000)
+        def hashed(body: str, host: str) -> int:
+            """Of the letters of a line, without words of the site's name."""
+            words = map(_key, body.split())
+            return xxhash.xxh3_64_intdigest("".join(w for w in words if len(w) < 4 or w not in host)) - (1 << 63)
 
-    @F.pandas_udf(StructType([StructField(n, ArrayType(LongType() if n == "keys" else IntegerType())) for n in names]))
-    def read(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        label = judge() if judge else None
-        for texts, titles in parts:
+        for texts, titles, sites in parts:
             out = []
-            for text, title in zip(texts, titles):
-                rows = page_lines(text, title) if text else []
-                codes = [_CODES[r[1]] for r in rows]
-                below, last = [], -1
-                for r, c in zip(reversed(rows), reversed(codes)):
-                    below.append(last)
-                    if r[1][2] != "h":
-                        last = c
-                keys = [xxhash.xxh3_64_intdigest(r[2]) - (1 << 63) if c % 8 == _PROSE else 0 for r, c in zip(rows, codes)]
-                got = [[r[0] for r in rows], codes, below[::-1], [r[3] for r in rows], [r[4] for r in rows], keys]
+            for text, title, site in zip(texts, titles, sites):
+                host = _key(site)
+                nos, rows, near, up, down, title_at = page_lines(text, title) if text else ([], [], [], [], [], -1)
+                codes = [3 * r[0] + r[1] + (_TITLE if k == title_at else 0) for k, r in enumerate(rows)]
+                got = [nos, codes, near, up, down, [len(r[2]) for r in rows], [r[5] for r in rows], [hashed(r[2], host) if r[4] >= PROSE_WORDS else 0 for r in rows]]
                 if label:
-                    said = [label(r[5]) if r[6] >= PROSE_WORDS and c // 8 % 6 == 0 and c % 8 in (_PROSE, _TITLE) else (-1, 0) for r, c in zip(rows, codes)]
-                    got += [[a for a, _ in said], [b for _, b in said], [r[6] for r in rows]]
+                    said = [label(r[2]) if r[0] == _P and r[4] >= PROSE_WORDS and (r[1] or k == title_at) else (-1, 0) for k, r in enumerate(rows)]
+                    got += [[a for a, _ in said], [b for _, b in said], [r[4] for r in rows]]
                 out.append(got)
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=[*_NAMES, *more])
 
     return read
 
@@ -209,52 +133,53 @@ def scored_pages(pages: DataFrame, keep: list[str] = (), judge: Callable | None
     With ``judge``, the lines also have two numbers (first, second) that its function gives each paragraph of at least
     eight words, read in the same pass, and their words.
 
-    A path's ratio is characters per line times punctuation marks per line over all pages, mixed with the same over the
-    page's site; link lists, notices and stamps have none. A heading is smoothed with what stands below it. A paragraph
-    whose very line is on at least 6 and 15 % of its site's urls is the template's, whatever its path. Null and empty
-    texts have no lines; a null title or site only takes away a hint. Pages that repeat an id are scored each.
+    A path's ratio is characters per node times punctuation marks per node over all pages, mixed with the same over the
+    page's site. A line of at least eight words that stands on at least 6 and 15 % of its site's urls is the template's, and
+    so is a paragraph of at most one sentence that, without words of the site's name, stands on at least 6 and 0.2 % of all urls. Smoothing takes the mean of a line's ratio and that of the line it belongs to. The line that repeats the page's
+    stored title is content. Null and empty texts have no lines; a null title or site only takes away a hint. Pages that
+    repeat an id are scored each.
 
-    Lines stay arrays in their page's row, and only sums by site and path and hashes of paragraphs are shuffled.
+    Lines stay arrays in their page's row, and only sums by site and path and hashes of lines are shuffled.
     """
     site = F.coalesce("site", F.lit(""))
-    rows = pages.select("page_id", *keep, F.xxhash64("url").alias("u"), F.col("url").isNotNull().alias("has_url"), site.alias("site"), _page_lines(judge)(F.col("text"), F.coalesce(F.col("title"), F.lit(""))).alias("l"))
+    rows = pages.select("page_id", *keep, F.xxhash64("url").alias("u"), F.col("url").isNotNull().alias("has_url"), site.alias("site"), _page_lines(judge)(F.col("text"), F.coalesce(F.col("title"), F.lit("")), site).alias("l"))
     rows = staged(rows.select("page_id", *keep, "u", "has_url", "site", "l.*"), "pagelines")
-    per = rows.select("site", F.explode(F.arrays_zip("codes", "chars", "puncts")).alias("x")).groupBy("site", F.col("x.codes").alias("code")).agg(F.sum("x.chars").alias("c"), F.sum("x.puncts").alias("p"), F.count("*").alias("n"))
-    all_ = per.groupBy("code").agg((F.sum("c") / F.sum("n")).alias("mc"), (F.sum("p") / F.sum("n")).alias("mp"))
-    weight = 50.0  # lines of a site that count as much as the whole corpus
-    barred = F.expr("code % 8 in (4, 5, 6) or int(code / 24) % 2 = 1")
-    fused = (F.col("c") + weight * F.col("mc")) / (F.col("n") + weight) * (F.col("p") + weight * F.col("mp")) / (F.col("n") + weight)
-    ratios = per.join(F.broadcast(all_), "code").groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("code", F.when(barred, 0.0).otherwise(fused)))).alias("ratios"))  # paths are a fixed few
     urls = rows.filter("has_url").select("site", "u").distinct().groupBy("site").agg(F.count("*").alias("urls"))
-    keys = rows.filter("has_url").select("site", "u", F.explode(F.array_distinct("keys")).alias("key")).filter("key <> 0").distinct()
-    # a site has few such lines: at most 1 / MIN_SHARE times the lines of a page
-    common = keys.groupBy("site", "key").agg(F.count("*").alias("on")).filter(f"on >= {MIN_URLS}").join(urls, "site").filter(F.col("on") >= MIN_SHARE * F.col("urls")).groupBy("site").agg(F.collect_list("key").alias("common"))
-    sites = staged(ratios.join(common, "site", "left"), "sites")
-    small = sites.count() <= BROADCAST_SITES
-    scored = rows.join(F.broadcast(sites) if small else sites, "site", "left")
+    keys = rows.filter("has_url").select("site", "u", F.explode(F.array_distinct(F.transform(F.arrays_zip("keys", "codes"), lambda x: F.struct(x["keys"].alias("key"), (x["codes"] % _TITLE < 2).alias("short"))))).alias("x"))
+    on = staged(keys.filter("x.key <> 0").select("site", "u", "x.*").distinct().groupBy("site", "key").agg(F.count("*").alias("on"), F.max("short").alias("short")), "keys")
+    # a site has few such lines: at most 1 / MIN_SHARE times the lines of a page; all sites, 1 / ALL_SHARE times
+    often = on.filter(f"on >= {MIN_URLS}").join(urls, "site").filter(F.col("on") >= MIN_SHARE * F.col("urls")).select("site", "key")
+    wide = on.filter("short").groupBy("key").agg(F.sum("on").alias("n")).filter(f"n >= {MIN_URLS}").crossJoin(F.broadcast(urls.agg(F.sum("urls").alias("all")))).filter(F.col("n") >= ALL_SHARE * F.col("all"))  # one row beside each
+    often = often.unionByName(on.join(wide.select("key"), "key", "left_semi").select("site", "key"))
+    common = staged(often.groupBy("site").agg(F.collect_set("key").alias("common")), "common")
+    small = rows.select("site").distinct().count() <= BROADCAST_SITES
+    near = F.broadcast if small else (lambda df: df)
+    rows = rows.join(near(common), "site", "left").withColumn("own", F.transform("keys", lambda k: (k == 0) | ~F.coalesce(F.array_contains("common", k), F.lit(False))))
+    own = F.filter(F.arrays_zip("codes", "chars", "puncts", "own"), lambda x: x["own"])
+    per = rows.select("site", F.explode(own).alias("x")).groupBy("site", (F.col("x.codes") % _TITLE).alias("code")).agg(F.sum("x.chars").alias("c"), F.sum("x.puncts").alias("p"), F.count("*").alias("n"))
+    all_ = per.groupBy("code").agg((F.sum("c") / F.sum("n")).alias("mc"), (F.sum("p") / F.sum("n")).alias("mp"))  # nine rows
+    fused = (F.col("c") + WEIGHT * F.col("mc")) / (F.col("n") + WEIGHT) * (F.col("p") + WEIGHT * F.col("mp")) / (F.col("n") + WEIGHT)
+    ratios = staged(per.join(F.broadcast(all_), "code").groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("code", fused))).alias("ratios")), "ratios")  # nine paths a site
+    scored = rows.join(near(ratios), "site", "left")
+    alone = F.transform(F.arrays_zip("codes", "own"), lambda x: F.when(x["own"], F.coalesce(F.try_element_at("ratios", x["codes"] % _TITLE), F.lit(0.0))).otherwise(F.lit(0.0)))
+    scored = scored.withColumn("r0", alone)
+    at = lambda name, i: F.coalesce(F.when(i >= 0, F.get(F.col(name), i)), F.lit(0.0))
+    mean = lambda a, b: (a + b) / 2
+    beside = lambda x: F.when((x["codes"] == _SENTENCE) & (x["r0"] > 0), mean(x["r0"], F.greatest(at("r0", x["up"]), at("r0", x["down"])))).otherwise(x["r0"])
+    scored = scored.withColumn("r1", F.transform(F.arrays_zip("codes", "r0", "up", "down"), beside))
     more = ["first", "second", "words"] if judge else []
-    line = F.arrays_zip("nos", "codes", "below", "keys", *more)
-    t = THRESHOLD
 
     def score(x):
-        form, mark = x["codes"] % 8, F.floor(x["codes"] / 8) % 3
-        ratio = F.coalesce(F.try_element_at("ratios", x["codes"]), F.lit(0.0))
-        near = F.coalesce(F.try_element_at("ratios", x["below"]), F.lit(0.0))
-        ratio = (
-            F.when(form == _TITLE, F.greatest(ratio, F.lit(2 * t)))
-            .when((x["keys"] != 0) & F.array_contains(F.coalesce("common", F.array().cast("array<bigint>")), x["keys"]), F.lit(0.0))
-            .when((mark == 1) & ~form.isin(4, 5, 6) & (F.floor(x["codes"] / 24) % 2 == 0), F.greatest(F.lit(t), (ratio + near) / 2))
-            .when(form.isin(_BARE, _ROW) | (form == _DATA) & (mark != 2), F.least(ratio, F.lit(t - 1)))
-            .otherwise(ratio)
-        )
-        return F.struct(x["nos"].alias("line_no"), x["codes"].alias("code"), ratio.alias("ratio"), (ratio < t).alias("template"), *[x[n].alias(n) for n in more])
+        ratio = F.when((x["codes"] % _TITLE >= 3) & (x["r0"] > 0), mean(x["r0"], at("r1", x["near"]))).otherwise(x["r1"])
+        ratio = F.when(x["codes"] >= _TITLE, F.greatest(ratio, F.lit(2 * THRESHOLD))).otherwise(ratio)
+        return F.struct(x["nos"].alias("line_no"), x["codes"].alias("code"), ratio.alias("ratio"), (ratio < THRESHOLD).alias("template"), *[x[n].alias(n) for n in more])
 
-    return scored.select("page_id", *keep, F.transform(line, score).alias("ls"))
+    return scored.select("page_id", *keep, F.transform(F.arrays_zip("nos", "codes", "near", "r0", "r1", *more), score).alias("ls"))
 
 
 def scored_lines(pages: DataFrame) -> DataFrame:
     """``scored_pages`` with a row for each line: (page_id, line_no, path, ratio, template)."""
-    names = F.array(*[F.lit("/".join(p)) for p in _CODES])
+    names = F.array(*[F.lit(f"{m}/{s}{t}") for t in ("", "/title") for m in MARKS for s in SHAPES])
     return scored_pages(pages).select("page_id", F.explode("ls").alias("x")).select("page_id", "x.line_no", F.get(names, F.col("x.code")).alias("path"), "x.ratio", "x.template")
 
 
