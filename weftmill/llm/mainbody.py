@@ -4,7 +4,7 @@ The pages come as text, so a line's path is read off what the markup left: its m
 whether it holds no sentence, one, or several. Text length and punctuation are summed for each path over all pages and over
 each site, divided by the number of nodes and fused; lines that a site repeats on many of its urls, or many sites but for
 their own name, are paths of their own and have no text. Ratios are then smoothed along the tree that the page's lines stand in: a heading with
-what it is the heading of, a list with the paragraph it hangs on, a single sentence with the paragraphs beside it. Lines
+what it is the heading of, a list with the paragraph it hangs on, a single sentence with the paragraphs beside it, if the page has any of several. Lines
 below a threshold are what the template adds. No words or phrases are looked for.
 """
 
@@ -30,7 +30,8 @@ _DECOR = regex.compile(r"\s*(?:\.\.\.|…|»)\s*$")
 _MARKS = ".,;:!?()-'\"/।"
 _SENTENCES = regex.compile(r"[.!?।][\"”’)\]]*(?:\s|$)")
 
-#: Words of a sentence at least, and of a prose line; the ratio below which a line is the template's.
+#: Words of a sentence at least, and of a prose line; the ratio below which a line is the template's. Where no path of the
+#: corpus has twice that ratio, half of the largest takes its place.
 PROSE_WORDS, THRESHOLD = 8, 120.0
 #: The share of all urls on which a line without or with one sentence counts as repeated, whatever the site; also at least MIN_URLS.
 ALL_SHARE = 0.002
@@ -41,7 +42,7 @@ BROADCAST_SITES = 20_000
 
 MARKS, SHAPES = ["p", "h", "li"], ["line", "sentence", "prose"]
 #: A path's code is 3 * mark + shape, and 9 more for the page's title.
-_P, _H, _LI, _SENTENCE, _TITLE = 0, 1, 2, 1, 9
+_P, _H, _LI, _SENTENCE, _PROSE, _TITLE = 0, 1, 2, 1, 2, 9
 
 _NAMES = ("nos", "codes", "near", "up", "down", "chars", "puncts", "keys")
 _LINES = StructType([StructField(n, ArrayType(LongType() if n == "keys" else IntegerType())) for n in _NAMES])
@@ -159,22 +160,24 @@ def scored_pages(pages: DataFrame, keep: list[str] = (), judge: Callable | None
     per = rows.select("site", F.explode(own).alias("x")).groupBy("site", (F.col("x.codes") % _TITLE).alias("code")).agg(F.sum("x.chars").alias("c"), F.sum("x.puncts").alias("p"), F.count("*").alias("n"))
     all_ = per.groupBy("code").agg((F.sum("c") / F.sum("n")).alias("mc"), (F.sum("p") / F.sum("n")).alias("mp"))  # nine rows
     fused = (F.col("c") + WEIGHT * F.col("mc")) / (F.col("n") + WEIGHT) * (F.col("p") + WEIGHT * F.col("mp")) / (F.col("n") + WEIGHT)
-    ratios = staged(per.join(F.broadcast(all_), "code").groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("code", fused))).alias("ratios")), "ratios")  # nine paths a site
+    limit = all_.agg(F.least(F.lit(THRESHOLD), F.max(F.col("mc") * F.col("mp")) / 2).alias("limit"))  # one row
+    ratios = staged(per.join(F.broadcast(all_), "code").crossJoin(F.broadcast(limit)).groupBy("site", "limit").agg(F.map_from_entries(F.collect_list(F.struct("code", fused))).alias("ratios")), "ratios")  # nine paths a site
     scored = rows.join(near(ratios), "site", "left")
     alone = F.transform(F.arrays_zip("codes", "own"), lambda x: F.when(x["own"], F.coalesce(F.try_element_at("ratios", x["codes"] % _TITLE), F.lit(0.0))).otherwise(F.lit(0.0)))
     scored = scored.withColumn("r0", alone)
+    scored = scored.withColumn("prose", F.exists(F.arrays_zip("codes", "own"), lambda x: (x["codes"] == _PROSE) & x["own"]))
     at = lambda name, i: F.coalesce(F.when(i >= 0, F.get(F.col(name), i)), F.lit(0.0))
     mean = lambda a, b: (a + b) / 2
-    beside = lambda x: F.when((x["codes"] == _SENTENCE) & (x["r0"] > 0), mean(x["r0"], F.greatest(at("r0", x["up"]), at("r0", x["down"])))).otherwise(x["r0"])
-    scored = scored.withColumn("r1", F.transform(F.arrays_zip("codes", "r0", "up", "down"), beside))
+    beside = lambda x: F.when((x["codes"] == _SENTENCE) & x["own"], mean(x["r0"], F.when(~F.col("prose"), x["r0"]).otherwise(F.greatest(at("r0", x["up"]), at("r0", x["down"]))))).otherwise(x["r0"])
+    scored = scored.withColumn("r1", F.transform(F.arrays_zip("codes", "own", "r0", "up", "down"), beside))
     more = ["first", "second", "words"] if judge else []
 
     def score(x):
-        ratio = F.when((x["codes"] % _TITLE >= 3) & (x["r0"] > 0), mean(x["r0"], at("r1", x["near"]))).otherwise(x["r1"])
+        ratio = F.when((x["codes"] % _TITLE >= 3) & x["own"], mean(x["r0"], at("r1", x["near"]))).otherwise(x["r1"])
         ratio = F.when(x["codes"] >= _TITLE, F.greatest(ratio, F.lit(2 * THRESHOLD))).otherwise(ratio)
-        return F.struct(x["nos"].alias("line_no"), x["codes"].alias("code"), ratio.alias("ratio"), (ratio < THRESHOLD).alias("template"), *[x[n].alias(n) for n in more])
+        return F.struct(x["nos"].alias("line_no"), x["codes"].alias("code"), ratio.alias("ratio"), (ratio < F.coalesce("limit", F.lit(THRESHOLD))).alias("template"), *[x[n].alias(n) for n in more])
 
-    return scored.select("page_id", *keep, F.transform(F.arrays_zip("nos", "codes", "near", "r0", "r1", *more), score).alias("ls"))
+    return scored.select("page_id", *keep, F.transform(F.arrays_zip("nos", "codes", "own", "near", "r0", "r1", *more), score).alias("ls"))
 
 
 def scored_lines(pages: DataFrame) -> DataFrame:
