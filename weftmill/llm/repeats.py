@@ -1,15 +1,23 @@
-"""Lines and blocks of lines repeated across one site's documents, by ranks of their first 1, 2, 4, 8 ... lines."""
+"""Lines and blocks of lines repeated across one site's documents, by suffix arrays and their common prefixes.
+
+Lines become identifiers. A block that is on many urls consists of lines that are, so a document's other lines cut it into
+runs, and most runs of a site's documents are the same: each different run is kept once, with the number of its urls. The
+suffixes of a site's runs are sorted, suffixes that begin with one line by one task; common prefixes of neighbours give the
+maximal blocks of any length. Blocks on too few urls are left out, and the lines of the others are cut from the documents.
+"""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType
 
 from weftmill.llm.skeleton import skeleton
 from weftmill.shared import staged
@@ -30,20 +38,17 @@ def line_key(line: str) -> str:
     return _DROP.sub("", unicodedata.normalize("NFC", skeleton(_DROP.sub("", skeleton(line)).lower())))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _line_keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    known: dict[str, str] = {}
+@F.pandas_udf(ArrayType(LongType()))
+def _line_ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """An identifier of each line; 0 for lines without letters."""
 
-    def key(line: str) -> str:
-        k = known.get(line)
-        if k is None:
-            if len(known) > 200_000:
-                known.clear()
-            k = known[line] = line_key(line)
-        return k
+    @functools.lru_cache(200_000)
+    def of(line: str) -> int:
+        k = line_key(line)
+        return (xxhash.xxh3_64_intdigest(k) - (1 << 63) or 1) if k else 0
 
     for s in texts:
-        yield s.map(lambda t: None if t is None else [key(x) for x in t.split("\n")])
+        yield s.map(lambda t: None if t is None else [of(x) for x in t.split("\n")])
 
 
 def _site(df: DataFrame, site: str, url: str) -> Column:
@@ -51,16 +56,15 @@ def _site(df: DataFrame, site: str, url: str) -> Column:
     return F.coalesce(F.col(site), F.when(host != "", host)) if site in df.columns else F.when(host != "", host)
 
 
-def line_suffixes(pages: DataFrame, fields: list[str], key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
-    """(site, url, key, in_field, line_no, line_id): the lines with letters of every document, as identifiers in order.
+def line_ids(pages: DataFrame, fields: list[str], key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
+    """(site, f, u, row, key, ids): the lines of every document and field as identifiers in order.
 
-    ``pos`` numbers them within the document without the other lines, so that a block may span blank lines.
+    ``f`` is the field's place in ``fields``, ``u`` a hash of the url, ``row`` numbers documents, also where keys repeat.
+    Documents without site or url have no lines.
     """
-    parts = F.array(*[F.struct(F.lit(f).alias("in_field"), _line_keys(F.col(f)).alias("keys")) for f in fields])
-    docs = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), _site(pages, site, url).alias("site"), F.explode(parts).alias("p")).filter("p.keys is not null and site is not null")
-    kept = F.filter(F.transform(F.col("p.keys"), lambda k, i: F.struct(i.alias("line_no"), k.alias("k"))), lambda x: x["k"] != "")
-    lines = docs.select("site", "url", "key", F.col("p.in_field").alias("in_field"), F.posexplode(kept).alias("pos", "x"))
-    return lines.select("site", "url", "key", "in_field", "pos", F.col("x.line_no").cast("int").alias("line_no"), F.xxhash64("x.k").alias("line_id"), F.xxhash64(F.lit("other"), "x.k").alias("check"))
+    parts = F.array(*[F.struct(F.lit(i).cast("byte").alias("f"), _line_ids(F.col(f)).alias("ids")) for i, f in enumerate(fields)])
+    docs = pages.select(F.col(key).alias("key"), F.when(F.col(url).isNotNull(), F.xxhash64(url)).alias("u"), _site(pages, site, url).alias("site"), F.monotonically_increasing_id().alias("row"), F.explode(parts).alias("p"))
+    return docs.filter("p.ids is not null and site is not null and u is not null").select("site", "p.f", "u", "row", "key", "p.ids")
 
 
 def _needed(pages: DataFrame, url: str, site: str, min_urls: int, min_share: float) -> DataFrame:
@@ -69,96 +73,173 @@ def _needed(pages: DataFrame, url: str, site: str, min_urls: int, min_share: flo
     return n.select("site", F.greatest(F.lit(min_urls), F.ceil(F.col("count") * min_share - 1e-9)).alias("needed"))
 
 
-def repeated_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, max_lines: int | None = None, key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
-    """(site, in_field, url, key, pos, line_no, length, block, check): places where a block of ``length`` lines begins that is on many of the site's urls.
+#: Suffixes that one task sorts at most; those of a line with more are parted by the lines that follow.
+SORTED = 100_000
+_GROUP = ["site", "f"]
+
+
+def _common(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """(site, f, common): identifiers of the lines on many urls; at most 1 / min_share times the lines of a document."""
+    on = rows.select(*_GROUP, "u", F.explode(F.array_distinct("ids")).alias("id")).filter("id <> 0").distinct().groupBy(*_GROUP, "id").agg(F.count("*").alias("on"))
+    return on.join(needed, "site").filter("on >= needed").groupBy(*_GROUP).agg(F.collect_list("id").alias("common"))
+
 
-    Lengths are powers of two only; ``maximal_blocks`` has the others. The suffixes of each site's lines are ranked by
-    doubling: after step k two suffixes have the same rank if their first 2**k lines are the same. A suffix whose prefix is on too few urls of its site is
-    dropped at once, since no longer one can be on more; the work shrinks with each step and stops when no suffix is
-    left, or at ``max_lines``. A block is on many urls if they are at least ``min_urls`` and ``min_share`` of the site's
-    distinct urls. Suffixes end with their document. Every step is a count by site, field and rank, partly aggregated
-    before its shuffle, so a site that holds a third of all pages is no hot task. Null sites and urls have no lines.
+@F.pandas_udf(ArrayType(ArrayType(LongType())))
+def _cut(ids: pd.Series, common: pd.Series) -> pd.Series:
+    """The runs of common lines; lines without letters part no run."""
+    out = []
+    for xs, keep in zip(ids, common):
+        keep, runs, cur = set(keep), [], []
+        for x in xs:
+            if x in keep:
+                cur.append(x)
+            elif x and cur:
+                runs.append(cur)
+                cur = []
+        out.append([*runs, cur] if cur else runs)
+    return pd.Series(out)
+
+
+def _sorted_blocks(suffixes: list[tuple[tuple[int, ...], int, int]], depth: int) -> Iterator[tuple[list[int], int]]:
+    """(lines, urls at most) of every maximal block of at least ``depth`` lines that suffixes begin with.
+
+    A suffix is (lines, the line before it or 0, urls). Suffixes are sorted; an interval of the array whose neighbours have
+    so many lines in common, or a suffix that ends, is a block that is not always followed by one same line.
     """
-    lines = staged(line_suffixes(pages, fields, key, url, site).filter("url is not null"), "lines")
-    needed = staged(_needed(pages, url, site, min_urls, min_share), "needed")
-    here = lines.select("site", "in_field", "url", "key", "pos", "line_no", F.col("line_id").alias("rank"), "check")
-    length, found = 1, []
+    rows = sorted(suffixes)
+    n = len(rows)
+    common = [0] * (n + 1)
+    for i in range(1, n):
+        a, b = rows[i - 1][0], rows[i][0]
+        k, most = 0, min(len(a), len(b))
+        while k < most and a[k] == b[k]:
+            k += 1
+        common[i] = k
+    open_: list[list] = []  # of each open interval: length, lines, urls, the one line before all of it (None: several or none)
+    for i in range(n + 1):
+        done = None
+        while open_ and open_[-1][0] > common[i]:
+            done = open_.pop()
+            if done[3] is None and done[0] >= depth:
+                yield list(done[1][: done[0]]), done[2]
+            if open_ and open_[-1][0] >= common[i]:
+                _add(open_[-1], done[2], done[3])
+                done = None
+        if i == n:
+            return
+        if done is not None and common[i] > (open_[-1][0] if open_ else 0):
+            open_.append([common[i], done[1], done[2], done[3]])
+        elif done is not None and open_:
+            _add(open_[-1], done[2], done[3])
+        lines, before, urls = rows[i]
+        if open_ and open_[-1][0] == len(lines):
+            _add(open_[-1], urls, before or None)
+        else:
+            open_.append([len(lines), lines, urls, before or None])
+
+
+def _add(interval: list, urls: int, before: int | None) -> None:
+    interval[2] += urls
+    if interval[3] != before:
+        interval[3] = None
+
+
+def _blocks_of(depth: int):
+    """The function that sorts the suffixes of one group."""
+
+    def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(tuple(a), int(b), int(c)) for a, b, c in zip(pdf["lines"], pdf["before"], pdf["urls"])]
+        got = list(_sorted_blocks(rows, depth))
+        of = lambda xs, kind: pd.Series(xs, dtype=kind)
+        return pd.DataFrame({"site": of([pdf["site"].iloc[0]] * len(got), object), "f": of([pdf["f"].iloc[0]] * len(got), "int8"), "lines": of([x for x, _ in got], object), "urls": of([u for _, u in got], "int64")})
+
+    return blocks
+
+
+def _candidates(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """(site, f, lines): maximal blocks that are on enough urls, or seem to be where a url has several runs with one.
+
+    ``rows`` have their runs. Suffixes of different runs are parted by their first line; where these are more than SORTED,
+    the first line alone is counted by an aggregate, and the suffixes are parted by their first two, and so on.
+    """
+    runs = rows.select(*_GROUP, "u", F.explode("runs").alias("run")).distinct().groupBy(*_GROUP, "run").agg(F.count("*").alias("urls"))
+    n = F.size("run")
+    tails = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.slice("run", i, n).alias("lines"), F.when(i > 1, F.get("run", i - 2)).otherwise(0).alias("before")))
+    suffixes = staged(runs.select(*_GROUP, "urls", F.explode(tails).alias("t")).groupBy(*_GROUP, "t.lines", "t.before").agg(F.sum("urls").alias("urls")), "suffixes")
+    found, depth = None, 1
     while True:
-        on = here.groupBy("site", "in_field", "rank", "check", "url").agg(F.lit(1).alias("one")).groupBy("site", "in_field", "rank", "check").count()
-        many = on.join(needed, "site").filter("count >= needed").select("site", "in_field", "rank", "check")
-        here = staged(here.join(many, ["site", "in_field", "rank", "check"], "left_semi"), f"block{length}")
-        found.append(here.select("site", "in_field", "url", "key", "pos", "line_no", F.lit(length).alias("length"), F.col("rank").alias("block"), "check"))
-        if max_lines is not None and length * 2 > max_lines or here.isEmpty():
-            break
-        # rank of the next 2**k lines beside the rank of these: two rows of one document meet in one aggregate
-        both = here.select("site", "in_field", "url", "key", "pos", F.struct("line_no", "rank", "check").alias("a"), F.lit(None).cast("struct<rank:bigint,check:bigint>").alias("b"))
-        moved = here.filter(F.col("pos") >= length).select("site", "in_field", "url", "key", (F.col("pos") - length).alias("pos"), F.lit(None).cast("struct<line_no:int,rank:bigint,check:bigint>").alias("a"), F.struct("rank", "check").alias("b"))
-        pairs = both.unionByName(moved).groupBy("site", "in_field", "url", "key", "pos").agg(F.max("a").alias("a"), F.max("b").alias("b")).filter("a is not null and b is not null")
-        here = pairs.select("site", "in_field", "url", "key", "pos", F.col("a.line_no").alias("line_no"), F.xxhash64("a.rank", "b.rank").alias("rank"), F.xxhash64("a.check", "b.check").alias("check"))
-        length *= 2
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-_BLOCK = "site string, in_field string, url string, key {key}, length int, a bigint, b bigint, ca bigint, cb bigint, before bigint, after bigint"
-
-
-def _any_length(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each document, every place and length at which both the first and the last 2**k lines are a repeated block."""
-    for pdf in batches:
-        out = []
-        for site, field, url, key, places in zip(pdf["site"], pdf["in_field"], pdf["url"], pdf["key"], pdf["places"]):
-            ranks: dict[int, dict[int, tuple[int, int]]] = {}
-            for x in places:
-                ranks.setdefault(x["length"], {})[x["pos"]] = x["block"], x["check"]
-            one = ranks[1]
-            for size, at in ranks.items():
-                for i, (a, ca) in at.items():
-                    for j in range(i, i + size):
-                        if j not in at:
-                            break  # no longer block is repeated either
-                        b, cb = at[j]
-                        out.append((site, field, url, key, j - i + size, a, b, ca, cb, one.get(i - 1, (None,))[0], one.get(j + size, (None,))[0]))
-        cols = pd.DataFrame(out, columns=["site", "in_field", "url", "key", "length", "a", "b", "ca", "cb", "before", "after"])
-        yield cols.astype({"before": "Int64", "after": "Int64"})
+        begun = suffixes.withColumn("first", F.slice("lines", 1, depth))
+        sizes = begun.groupBy(*_GROUP, "first").agg(F.count("*").alias("size"))
+        hot = staged(sizes.filter(F.col("size") > SORTED).select(*_GROUP, "first"), "hot")
+        any_hot = not hot.isEmpty()
+        small = begun.join(hot, [*_GROUP, "first"], "left_anti") if any_hot else begun
+
+        part = small.groupBy(*_GROUP, "first").applyInPandas(_blocks_of(depth), "site string, f byte, lines array<bigint>, urls long")
+        if any_hot:
+            big = staged(begun.join(hot, [*_GROUP, "first"], "left_semi"), "long")
+            after = F.get("lines", F.lit(depth))
+            one = big.groupBy(*_GROUP, F.col("first").alias("lines")).agg(
+                F.sum("urls").alias("urls"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.count("*").alias("all"), F.count(after).alias("on"), F.min(after).alias("a1"), F.max(after).alias("a2")
+            )
+            several = (F.col("b1") != F.col("b2")) | (F.col("b1") == 0)
+            part = part.unionByName(one.filter(several & ((F.col("on") < F.col("all")) | (F.col("a1") != F.col("a2")))).select(*_GROUP, "lines", "urls"))
+            suffixes = big.filter(F.size("lines") > depth).drop("first")
+        found = part if found is None else found.unionByName(part)
+        if not any_hot:
+            return found.join(needed, "site").filter("urls >= needed").select(*_GROUP, "lines")
+        depth += 1
+
+
+def _prepared(pages: DataFrame, fields: list[str], min_urls: int, min_share: float, key: str, url: str, site: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their runs, urls needed, candidates)."""
+    rows = staged(line_ids(pages, fields, key, url, site), "lines")
+    needed = staged(_needed(pages, url, site, min_urls, min_share), "needed")
+    rows = rows.join(_common(rows, needed), _GROUP)
+    with_runs = rows.select(*_GROUP, "u", "row", "key", _cut("ids", "common").alias("runs"))
+    return rows, needed, staged(_candidates(with_runs, needed), "blocks")
 
 
 def maximal_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
     """(site, in_field, length, block, pages, places): the maximal blocks of any length that are on many of the site's urls.
 
     A block is maximal if its places are neither all preceded nor all followed by one same line, so that no longer block
-    has all of them. Blocks of 2**k to 2**(k+1) - 1 lines are the same if their first and their last 2**k lines are, whose
-    ranks ``repeated_blocks`` has. Pages and places count wherever the block stands, also within longer ones. Every repeated
-    block at every place is one row of a count that is partly aggregated before its shuffle; a block of n lines has
-    n * (n + 1) / 2 within it.
+    has all of them. It is on many urls if they are at least ``min_urls`` and ``min_share`` of the site's distinct urls;
+    documents that repeat a key each count as pages. Places count wherever the block stands, also within longer ones.
     """
-    # a row is a document of its own, also where keys are repeated
-    rows = pages.select(*{*fields, url, *([site] if site in pages.columns else [])}, F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("key"))
-    found = repeated_blocks(rows, fields, min_urls, min_share, None, "key", url, site)
-    docs = found.groupBy("site", "in_field", "url", "key").agg(F.collect_list(F.struct("pos", "length", "block", "check")).alias("places"))
-    docs = docs.withColumn("key", F.col("key.key"))
-    every = docs.mapInPandas(_any_length, _BLOCK.format(key=docs.schema["key"].dataType.simpleString()))
-    every = every.withColumn("block", F.xxhash64("length", "a", "b")).withColumn("check", F.xxhash64("length", "ca", "cb"))
-    group = ["site", "in_field", "length", "block", "check"]
-    # urls and keys are counted by way of one row each; the lines beside go along as counts, least and greatest
-    by = every.groupBy(*group, "url", "key").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("before", "after") for f in (F.count, F.min, F.max)])
-    on = by.groupBy(*group, "url").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), *[g(f"{c}_{f.__name__}").alias(f"{c}_{f.__name__}") for c in ("before", "after") for f, g in ((F.count, F.sum), (F.min, F.min), (F.max, F.max))])
-    all_ = on.groupBy(*group).agg(F.count("*").alias("urls"), F.sum("pages").alias("pages"), F.sum("n").alias("places"), *[g(f"{c}_{f.__name__}").alias(f"{c}_{f.__name__}") for c in ("before", "after") for f, g in ((F.count, F.sum), (F.min, F.min), (F.max, F.max))])
-    many = all_.join(staged(_needed(pages, url, site, min_urls, min_share), "needed"), "site").filter("urls >= needed")
-    same = lambda c: (F.col(f"{c}_count") == F.col("places")) & (F.col(f"{c}_min") == F.col(f"{c}_max"))
-    return many.filter(~F.coalesce(same("before"), F.lit(False)) & ~F.coalesce(same("after"), F.lit(False))).select("site", "in_field", "length", "block", "pages", "places")
+    rows, needed, blocks = _prepared(pages, fields, min_urls, min_share, key, url, site)
+    lists = blocks.groupBy(*_GROUP).agg(F.collect_list("lines").alias("blocks"))  # bounded like the lines on many urls
 
+    @F.pandas_udf("array<struct<b:int,n:int>>")
+    def places(ids: pd.Series, common: pd.Series, blocks: pd.Series) -> pd.Series:
+        out = []
+        for runs, bs in zip(_cut.func(ids, common), blocks):
+            first: dict[int, list[int]] = {}
+            for i, b in enumerate(bs):
+                first.setdefault(b[0], []).append(i)
+            count: dict[int, int] = {}
+            for run in runs:
+                for at, x in enumerate(run):
+                    for i in first.get(x, ()):
+                        if run[at : at + len(bs[i])] == list(bs[i]):
+                            count[i] = count.get(i, 0) + 1
+            out.append([{"b": i, "n": n} for i, n in count.items()])
+        return pd.Series(out)
+
+    at = rows.join(lists, _GROUP).select(*_GROUP, "u", "row", "blocks", F.explode(places("ids", "common", "blocks")).alias("x"))
+    at = at.select(*_GROUP, "u", "row", F.get("blocks", F.col("x.b")).alias("lines"), "x.n")
+    per = at.select(*_GROUP, "u", "row", F.size("lines").alias("length"), F.xxhash64("lines").alias("block"), "n")
+    by = per.groupBy(*_GROUP, "length", "block", "u").agg(F.count("*").alias("pages"), F.sum("n").alias("places")).groupBy(*_GROUP, "length", "block").agg(F.count("*").alias("urls"), F.sum("pages").alias("pages"), F.sum("places").alias("places"))
+    name = F.get(F.array(*map(F.lit, fields)), F.col("f"))
+    return by.join(needed, "site").filter("urls >= needed").select("site", name.alias("in_field"), "length", "block", "pages", "places")
 
-def repeated_lines(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
-    """(key, in_field, line_no) of every line in a repeated block of any length.
 
-    Every line of a long block is itself a block of one line on at least as many urls, so the first step of the sort
-    finds them all.
-    """
-    blocks = repeated_blocks(pages, fields, min_urls, min_share, 1, key, url, site)
-    return blocks.select(F.col("key").alias(key), "in_field", "line_no")
+def repeated_lines(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
+    """(key, in_field, line_no) of every line of a maximal block, wherever it stands: each is itself a block of one line on as many urls."""
+    rows, _, blocks = _prepared(pages, fields, min_urls, min_share, key, url, site)
+    cut = blocks.select(*_GROUP, F.explode("lines").alias("id")).groupBy(*_GROUP).agg(F.collect_set("id").alias("cut"))
+    name = F.get(F.array(*map(F.lit, fields)), F.col("f"))
+    numbered = F.array_compact(F.transform("ids", lambda x, i: F.when(F.array_contains("cut", x), i.cast("int"))))
+    return rows.select(*_GROUP, "key", "ids").join(cut, _GROUP).select(F.col("key").alias(key), name.alias("in_field"), F.explode(numbered).alias("line_no"))
 
 
 def without_lines(pages: DataFrame, lines: DataFrame, fields: list[str], key: str = "page_id") -> DataFrame:

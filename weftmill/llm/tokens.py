@@ -45,7 +45,7 @@ class Merges:
             self.bytes[i] = t
             self.endings.add_word(t.decode("latin-1"), (i, len(t)))
         self.endings.make_automaton()
-        self.longest = max(map(len, self.rank))
+        self.lookahead = max(map(len, self.rank))
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
@@ -132,7 +132,7 @@ class Transducer:
         self.last: dict[int, tuple[int, int]] = {}  # of each prefix that may still matter: its last token, where that begins
 
     def feed(self, data: bytes) -> Iterator[int]:
-        step = self.m.longest
+        step = self.m.lookahead
         for i in range(0, len(data), step):
             self._read(data[i : i + step])
             if self.at - self.base > step:
@@ -160,7 +160,7 @@ class Transducer:
 
     def _stable(self) -> Iterator[int]:
         """Emits what the encodings of all prefixes at which the token over the next byte may begin have in common."""
-        text, at, most = self.kept, self.at, self.m.longest
+        text, at, most = self.kept, self.at, self.m.lookahead
         meet = {at} | {at - n for n in range(1, min(most, len(text)) + 1) if at - n >= self.base and text[-n:] in self.m.open}
         while len(meet) > 1:
             top = max(meet)
