@@ -102,13 +102,17 @@ def lookalike_pairs(rows: DataFrame, key: str = "id", text: str = "text") -> Dat
     """(id_a, id_b), smaller first: rows whose texts look the same but are made of different characters.
 
     Null and empty texts and texts of invisible characters form no pair; nor do identical texts. Texts travel as 128-bit
-    digests, and only skeletons with at least two different texts are joined, so groups of mere copies cost nothing.
+    digests. Different texts of one skeleton are joined first, then the rows that have them, so that copies of a text are
+    never held against each other and the work grows with the pairs that come out.
     """
     skel = skeleton_udf(F.col(text))
     d = rows.filter(f"{text} is not null and {text} <> '' and {key} is not null").select(F.col(key).alias("id"), F.md5(F.col(text).cast("binary")).alias("own"), skel.alias("s"))
     d = staged(d.filter("trim(s) <> ''").select("id", "own", F.md5(F.col("s").cast("binary")).alias("look")), "looks")
-    mixed = d.groupBy("look").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("look")
-    d = d.join(mixed, "look", "left_semi")
-    a, b = d.alias("a"), d.alias("b")
-    pairs = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.own") != F.col("b.own")))
-    return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    forms = d.groupBy("look", "own").agg(F.count("*").alias("n"))
+    mixed = staged(forms.join(forms.groupBy("look").agg(F.count("*").alias("forms")).filter("forms > 1"), "look", "left_semi"), "forms")
+    a, b = mixed.select("look", F.col("own").alias("own_a")), mixed.select("look", F.col("own").alias("own_b"))
+    unlike = a.join(b, "look").filter("own_a < own_b").select("own_a", "own_b")  # each gives at least one pair
+    left = d.select(F.col("id").alias("i"), F.col("own").alias("own_a"))
+    right = d.select(F.col("id").alias("j"), F.col("own").alias("own_b"))
+    pairs = unlike.join(left, "own_a").join(right, "own_b").filter("i <> j")
+    return pairs.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
