@@ -48,9 +48,12 @@ _NAMES = ("nos", "codes", "near", "up", "down", "chars", "puncts", "keys")
 _LINES = StructType([StructField(n, ArrayType(LongType() if n == "keys" else IntegerType())) for n in _NAMES])
 
 
+_OTHER = bytes(i for i in range(128) if not chr(i).isalpha())
+
+
 def _key(line: str) -> str:
     """Letters of a line in its consistent form, in lower case."""
-    return line.lower().translate(_LETTERS)
+    return line.encode().translate(None, _OTHER).decode().lower() if line.isascii() else line.lower().translate(_LETTERS)
 
 
 @functools.lru_cache(100_000)
@@ -108,17 +111,20 @@ def _page_lines(judge: Callable | None):
 
         @functools.lru_cache(100_000)
         def hashed(body: str, host: str) -> int:
-            """Of the letters of a line, without words of the site's name."""
+            """Of the letters of a line of at most one sentence, without words of the site's name."""
             words = map(_key, body.split())
             return xxhash.xxh3_64_intdigest("".join(w for w in words if len(w) < 4 or w not in host)) - (1 << 63)
 
+        def key(r: tuple, host: str) -> int:
+            return 0 if r[4] < PROSE_WORDS else hashed(r[2], host) if r[1] < _PROSE else xxhash.xxh3_64_intdigest(r[3]) - (1 << 63)
+
         for texts, titles, sites in parts:
             out = []
             for text, title, site in zip(texts, titles, sites):
                 host = _key(site)
                 nos, rows, near, up, down, title_at = page_lines(text, title) if text else ([], [], [], [], [], -1)
                 codes = [3 * r[0] + r[1] + (_TITLE if k == title_at else 0) for k, r in enumerate(rows)]
-                got = [nos, codes, near, up, down, [len(r[2]) for r in rows], [r[5] for r in rows], [hashed(r[2], host) if r[4] >= PROSE_WORDS else 0 for r in rows]]
+                got = [nos, codes, near, up, down, [len(r[2]) for r in rows], [r[5] for r in rows], [key(r, host) for r in rows]]
                 if label:
                     said = [label(r[2]) if r[0] == _P and r[4] >= PROSE_WORDS and (r[1] or k == title_at) else (-1, 0) for k, r in enumerate(rows)]
                     got += [[a for a, _ in said], [b for _, b in said], [r[4] for r in rows]]

@@ -75,6 +75,8 @@ def _needed(pages: DataFrame, url: str, site: str, min_urls: int, min_share: flo
 
 #: Suffixes that one task sorts at most; those of a line with more are parted by the lines that follow.
 SORTED = 100_000
+#: Lines of blocks, over all sites, that are broadcast at most; more are joined by shuffling.
+BROADCAST_LINES = 500_000
 _GROUP = ["site", "f"]
 
 
@@ -236,10 +238,11 @@ def maximal_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS
 def repeated_lines(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
     """(key, in_field, line_no) of every line of a maximal block, wherever it stands: each is itself a block of one line on as many urls."""
     rows, _, blocks = _prepared(pages, fields, min_urls, min_share, key, url, site)
-    cut = blocks.select(*_GROUP, F.explode("lines").alias("id")).groupBy(*_GROUP).agg(F.collect_set("id").alias("cut"))
+    cut = staged(blocks.select(*_GROUP, F.explode("lines").alias("id")).distinct(), "cut")
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_LINES else cut
     name = F.get(F.array(*map(F.lit, fields)), F.col("f"))
-    numbered = F.array_compact(F.transform("ids", lambda x, i: F.when(F.array_contains("cut", x), i.cast("int"))))
-    return rows.select(*_GROUP, "key", "ids").join(cut, _GROUP).select(F.col("key").alias(key), name.alias("in_field"), F.explode(numbered).alias("line_no"))
+    lines = rows.select(*_GROUP, "key", F.posexplode("ids").alias("line_no", "id")).filter("id <> 0")
+    return lines.join(cut, [*_GROUP, "id"], "left_semi").select(F.col("key").alias(key), name.alias("in_field"), "line_no")
 
 
 def without_lines(pages: DataFrame, lines: DataFrame, fields: list[str], key: str = "page_id") -> DataFrame:
