@@ -48,8 +48,9 @@ def budgets(leaves: list[dict], total: float) -> dict[str, float]:
     return fill(leaves, 0, total) if leaves else {}
 
 
-def _order(key: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key))
+def _order(key: str, seed: int, epoch: Column) -> Column:
+    """Each epoch over a source has an order of its own."""
+    return F.xxhash64(F.lit(seed), epoch, F.col(key))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None, domains: dict[str, str] | None = None, seed: int = 17, tokenizers: str = TOKENIZERS, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +59,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     ``total`` is the size wanted, in tokens; by default the largest at which every source that has any text meets its
     share within its ``max_repeats``. Sources without text leave their share to siblings in the tree domain, language,
     source (``domains`` names the domain of a source, the language is the one with most of its tokens), then further
-    up. A source's budget is taken as whole epochs over its records in a seeded order, then as a prefix of that order:
+    up. A source's budget is taken as whole epochs over its records, then as a prefix of the next epoch's seeded order:
     the records up to the one that comes nearest to what is left, so a source misses its budget by at most half a record. Sources not listed, null sources and texts without tokens have no part; ties of the order go by doc_id. The
     targets come to the driver, one row each; so do the sizes of their sources by language.
     """
@@ -79,7 +80,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     plan = [(s, goal[s][0], goal[s][1], float(budget.get(s, 0)), size.get(s, (0, ""))[0]) for s in goal]
     rows = [(s, share, most, b, int(min(most, b // n)) if n else 0, (b - n * (b // n)) if n and b // n < most else 0.0) for s, share, most, b, n in plan]
     leaf = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, budget double, epochs int, rest double")
-    d = sized.withColumn("o", _order("doc_id", seed)).withColumn("slice", F.shiftrightunsigned("o", 64 - SLICE_BITS).cast("int"))
+    d = sized.join(F.broadcast(leaf.select("source", "epochs")), "source").withColumn("o", _order("doc_id", seed, F.col("epochs"))).drop("epochs").withColumn("slice", F.shiftrightunsigned("o", 64 - SLICE_BITS).cast("int"))
     slices = d.groupBy("source", "slice").agg(F.sum("tokens").alias("n"))  # at most sources x 2**SLICE_BITS rows
     before = slices.select("source", "slice", "n", F.expr("sum(n) over (partition by source order by slice) - n").alias("before"))
     d = d.join(F.broadcast(before.join(F.broadcast(leaf), "source").select("source", "slice", "n", "before", "epochs", "rest")), ["source", "slice"])
