@@ -191,23 +191,31 @@ def test_follow_ups(spark):
     ("Write to a@b.org or call 079-2630 1234.", "Mail a@b.org, phone 07926301234", []), ("Write to x@b.org", "a@b.org", ["x@b.org"]), ("On 5 June 2026", "05/06/2026", []), ("On 6 June 2026", "05/06/2026", ["6 June 2026"]),
     ("See https://a.org/x.", "https://a.org/x/y", []), ("In 2024-2025", "for 2024-25", []), ("Rs. 500 covers semesters I to IV.", "Rs. 500", ["500 covers semesters I to IV."]),
 ])
-def test_facts(answer, context, wrong):
-    assert facts.unsupported(answer, context, 2020) == wrong
+def test_facts(spark, answer, context, wrong):
+    d = spark.createDataFrame([(answer, context)], "a string, c string")
+    assert d.select(facts.unsupported(F.col("a"), facts.evidence(F.col("c")), 2020)).first()[0] == wrong
 
 
-def test_trimming():
-    assert facts.trimmed("The fee is Rs. 31,250 per year.", ["per year"]) == "The fee is Rs. 31,250."
-    assert facts.trimmed("- fee 100\n- fee 999", ["999"]) == "- fee 100"
-    assert facts.trimmed("The fee is 999.", ["999"]) == ""
+def test_trimming(spark):
+    rows = [("The fee is Rs. 31,250 per year.", ["per year"]), ("- fee 100\n- fee 999", ["999"]), ("The fee is 999.", ["999"]), ("See the office. Pay 500 there. Bring Rs. 20 too.", ["500"]), (None, []), ("Details:", [])]
+    d = spark.createDataFrame(rows, "a string, w array<string>")
+    assert [r[0] for r in d.select(facts.trimmed(F.col("a"), F.col("w"))).collect()] == ["The fee is Rs. 31,250.", "- fee 100", "", "See the office. Bring Rs. 20 too.", None, ""]
+    assert [r[0] for r in d.select(facts.loses_the_answer(F.col("a"), F.col("w"))).collect()] == [False, False, True, False, False, False]
+
+
+def test_checked_answers(spark):
+    d = spark.createDataFrame([("Pay 500 by 1 May.", "500, due 01.05.2025"), ("Pay 600.", None), (None, "x")], "answer string, c string").withColumn("evidence", facts.evidence(F.col("c")))
+    got = facts.checked(d, 2020).select("check.*").collect()
+    assert [tuple(r) for r in got] == [(True, [], "Pay 500 by 1 May.", False), (False, ["600"], "", True), (True, [], "", False)]
 
 
 def test_translations(spark):
     d = spark.createDataFrame([("Pay 2,500 to a@b.org", "२५०० a@b.org"), ("Pay 2500", "250"), (None, None)], "s string, t string")
     assert [r[0] for r in d.select(facts.missing_items(F.col("s"), F.col("t"))).collect()] == [[], ["2500"], []]
-    text, names = facts.locked_names("Asha Rao and Asha", ["Asha", "Asha Rao"])
-    assert text == "[[0]] and [[1]]" and facts.unlocked_names(text, names) == "Asha Rao and Asha"
-    with pytest.raises(ValueError):
-        facts.unlocked_names("none", names)
+    names = spark.createDataFrame([("Asha Rao and Asha",), ("ASHA RAO came",)], "t string").select(facts.locked_names(F.col("t"), ["Asha", "Asha Rao"]).alias("x")).select("x.*")
+    assert [tuple(r) for r in names.collect()] == [("[[0]] and [[1]]", ["Asha Rao", "Asha"]), ("[[0]] came", ["Asha Rao"])]
+    spaced = names.select(facts.unlocked_names(F.regexp_replace("text", r"\[\[", "[[ "), F.col("names")), facts.unlocked_names(F.lit("none"), F.col("names")))
+    assert [tuple(r) for r in spaced.collect()] == [("Asha Rao and Asha", None), ("Asha Rao came", None)]
 
 
 def test_limits(spark):
@@ -335,10 +343,32 @@ def test_titles_dates_and_labels(spark):
     assert one(spark, "नमस्ते भाई", lambda c: M.answer_language(F.lit("mr"), c)) == "mr" and one(spark, "hello", lambda c: M.answer_language(F.lit("gu"), c)) == "gu" and one(spark, None, M.typed_language) == "en"
 
 
-def test_number_repair_and_sentences():
-    assert facts.repaired_numbers("In 2026 pay 2,500", "202 में 2,500") == "2026 में 2,500"
-    assert facts.sentences("Dr. Rao came. A. Shah left! No. 5 stays.") == ["Dr. Rao came.", "A. Shah left!", "No. 5 stays."]
-    assert all(len(x) <= 600 for x in facts.sentences("word " * 500))
+def test_number_repair_and_sentences(spark):
+    d = spark.createDataFrame([("In 2026 pay 2,500", "202 में 2,500"), ("Pay 500", "Pay 500"), ("Call 12345 or 123", "123 12 9")], "s string, t string")
+    assert [r[0] for r in d.select(facts.repaired_numbers(F.col("s"), F.col("t"))).collect()] == ["2026 में 2,500", "Pay 500", "123 12345 9"]
+    assert one(spark, "Dr. Rao came. A. Shah left! No. 5 stays.", facts.sentences) == ["Dr. Rao came.", "A. Shah left!", "No. 5 stays."]
+    long_ = one(spark, "word " * 500, facts.sentences)
+    assert all(len(x) <= 600 for x in long_) and " ".join(long_).split() == ["word"] * 500
+    text = "- **First** one. Second one.\n\n## Head\nplain"
+    assert [(r.prefix, r.sentences) for r in one(spark, text, facts.split_lines)] == [("- ", ["First one.", "Second one."]), ("", []), ("", ["Head"]), ("", ["plain"])]
+    assert one(spark, text, lambda c: facts.joined_lines(facts.split_lines(c))) == "- First one. Second one.\n\nHead\nplain"
+
+
+@pytest.mark.parametrize("q,want", [
+    ("Heyyy, hw u doing", ""), ("hello, who are you bro?", "identity"), ("ok bye", "bye"), ("hey, fine", "greeting"), ("ok, sure", "ack"), ("thanks for the quick answer", "thanks"), ("I'm doing well", "user_is_fine"), ("How's it going?", "how_are_you"),
+    ("which bus goes to the office", ""), ("", ""), (None, ""),
+])
+def test_small_talk(spark, q, want):
+    assert one(spark, q, guard.small_talk) == want
+
+
+def test_rules_keep_the_question(spark):
+    got = one(spark, "okay, when does the damn library open, useless bot??", guard.classified)
+    assert (got.kind, got.question, got.abusive) == ("ok", "when does the library open", True)
+    assert one(spark, "copy of the exam form", guard.classified).kind == "ok" and one(spark, "copying in a test", guard.classified).kind == "misconduct"
+    assert one(spark, "the BBA and M.Sc fees", lambda c: guard.glossary(c, {"bba": "BBA Bachelor of Business", "msc": "Master of Science", "contact": "office"})) == ["BBA = Bachelor of Business", "MSC = Master of Science"]
+    d = spark.createDataFrame([("q", ' "fee structure"\nmore'), ("q", "x"), ("q", None)], "q string, r string")
+    assert [r[0] for r in d.select(guard.rewritten(F.col("q"), F.col("r"))).collect()] == ["fee structure", "q", "q"]
 
 
 def test_checker_replies(spark):

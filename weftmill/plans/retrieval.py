@@ -211,7 +211,7 @@ def guard_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", guard.classified(F.col("text")).alias("g")).select("doc_id", "g.kind", "g.small_talk", "g.abusive")
 
 
-@query("select doc_id, coalesce(regexp_matches(text, '(?is)" + guard.Rules().urgent.replace("'", "''") + "'), false) as urgent from documents")
+@query(f"select doc_id, coalesce(regexp_matches(text, '{guard._any(guard.Rules().urgent)}'), false) as urgent from documents")
 def urgent_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", guard.is_urgent(F.col("text")).alias("urgent"))
 
@@ -239,7 +239,8 @@ def fact_checks(spark: SparkSession, d: str) -> DataFrame:
     """Each chunk as an answer, its source's first chunk as the evidence."""
     c = table(spark, d, "chunks")
     first = c.groupBy("source_id").agg(F.min_by("text", F.struct("chunk_index", "chunk_id")).alias("context"))
-    got = facts.checked(c.select("chunk_id", "source_id", F.col("text").alias("answer")).join(first, "source_id"), 2026)
+    known = staged(first.select("source_id", facts.evidence(F.col("context")).alias("evidence")), "evidence")
+    got = facts.checked(c.select("chunk_id", "source_id", F.col("text").alias("answer")).join(known, "source_id"), 2026)
     return got.select("chunk_id", "check.ok", F.size("check.unsupported").alias("n_unsupported"), "check.kept")
 
 
