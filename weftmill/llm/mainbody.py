@@ -161,7 +161,8 @@ def scored_pages(pages: DataFrame, keep: list[str] = (), judge: Callable | None
     common = staged(often.groupBy("site").agg(F.collect_set("key").alias("common")), "common")
     small = rows.select("site").distinct().count() <= BROADCAST_SITES
     near = F.broadcast if small else (lambda df: df)
-    rows = rows.join(near(common), "site", "left").withColumn("own", F.transform("keys", lambda k: (k == 0) | ~F.coalesce(F.array_contains("common", k), F.lit(False))))
+    rows = rows.join(near(common), "site", "left").withColumn("hits", F.coalesce(F.array_intersect("keys", "common"), F.array().cast("array<bigint>"))).drop("common")
+    rows = rows.withColumn("own", F.transform("keys", lambda k: ~F.array_contains("hits", k)))
     own = F.filter(F.arrays_zip("codes", "chars", "puncts", "own"), lambda x: x["own"])
     per = rows.select("site", F.explode(own).alias("x")).groupBy("site", (F.col("x.codes") % _TITLE).alias("code")).agg(F.sum("x.chars").alias("c"), F.sum("x.puncts").alias("p"), F.count("*").alias("n"))
     all_ = per.groupBy("code").agg((F.sum("c") / F.sum("n")).alias("mc"), (F.sum("p") / F.sum("n")).alias("mp"))  # nine rows
