@@ -18,7 +18,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from weftmill.llm.repeats import MIN_SHARE, MIN_URLS
 from weftmill.llm.skeleton import Letters, skeleton
@@ -134,24 +134,34 @@ def _page_lines(judge: Callable | None):
     return read
 
 
-def scored_pages(pages: DataFrame, keep: list[str] = (), judge: Callable | None = None) -> DataFrame:
-    """(page_id, *keep, ls) of every page, ls being (line_no, code of its path, ratio, template) of its non-blank lines.
+def line_ratios(codes: list[int], own: list[bool], near: list[int], up: list[int], down: list[int], ratios: list[float]) -> list[float]:
+    """Smoothed ratio of every line of a page. ``ratios`` are those of the nine paths; the page's title has twice THRESHOLD at least."""
+    plain = [ratios[c % _TITLE] if o else 0.0 for c, o in zip(codes, own)]
+    prose = any(o and c == _PROSE for c, o in zip(codes, own))
+    out = plain[:]
+    for k, c in enumerate(codes):
+        if c == _SENTENCE and own[k] and prose:
+            out[k] = (plain[k] + max(plain[i] if i >= 0 else 0.0 for i in (up[k], down[k]))) / 2
+    paragraphs = out[:]
+    for k, c in enumerate(codes):
+        if c % _TITLE >= 3 and own[k]:
+            out[k] = (plain[k] + (paragraphs[near[k]] if near[k] >= 0 else 0.0)) / 2
+        if c >= _TITLE:
+            out[k] = max(out[k], 2 * THRESHOLD)
+    return out
 
-    With ``judge``, the lines also have two numbers (first, second) that its function gives each paragraph of at least
-    eight words, read in the same pass, and their words.
 
-    A path's ratio is characters per node times punctuation marks per node over all pages, mixed with the same over the
-    page's site. A line of at least eight words that stands on at least 6 and 15 % of its site's urls is the template's, and
-    so is a paragraph of at most one sentence that, without words of the site's name, stands on at least 6 and 0.2 % of all urls. Smoothing takes the mean of a line's ratio and that of the line it belongs to. The line that repeats the page's
-    stored title is content. Null and empty texts have no lines; a null title or site only takes away a hint. Pages that
-    repeat an id are scored each.
+def measured_pages(pages: DataFrame, keep: list[str] = (), judge: Callable | None = None) -> DataFrame:
+    """A row for each page with its lines as arrays: numbers, codes of paths, places of neighbours, whether a line's text is
+    its own, and the ratios and limit of its site; what ``line_ratios`` needs.
 
-    Lines stay arrays in their page's row, and only sums by site and path and hashes of lines are shuffled.
+    With ``judge``, the lines also have two numbers (first, second) that its function gives each paragraph of at least
+    eight words, read in the same pass, and their words. Only sums by site and path and hashes of lines are shuffled.
     """
     site = F.coalesce("site", F.lit(""))
     rows = pages.select("page_id", *keep, F.xxhash64("url").alias("u"), F.col("url").isNotNull().alias("has_url"), site.alias("site"), _page_lines(judge)(F.col("text"), F.coalesce(F.col("title"), F.lit("")), site).alias("l"))
     rows = staged(rows.select("page_id", *keep, "u", "has_url", "site", "l.*"), "pagelines")
-    urls = rows.filter("has_url").select("site", "u").distinct().groupBy("site").agg(F.count("*").alias("urls"))
+    urls = staged(rows.filter("has_url").select("site", "u").distinct().groupBy("site").agg(F.count("*").alias("urls")), "urls")
     keys = rows.filter("has_url").select("site", "u", F.explode(F.array_distinct(F.transform(F.arrays_zip("keys", "codes"), lambda x: F.struct(x["keys"].alias("key"), (x["codes"] % _TITLE < 2).alias("short"))))).alias("x"))
     on = staged(keys.filter("x.key <> 0").select("site", "u", "x.*").distinct().groupBy("site", "key").agg(F.count("*").alias("on"), F.max("short").alias("short")), "keys")
     # a site has few such lines: at most 1 / MIN_SHARE times the lines of a page; all sites, 1 / ALL_SHARE times
@@ -159,47 +169,64 @@ def scored_pages(pages: DataFrame, keep: list[str] = (), judge: Callable | None
     wide = on.filter("short").groupBy("key").agg(F.sum("on").alias("n")).filter(f"n >= {MIN_URLS}").crossJoin(F.broadcast(urls.agg(F.sum("urls").alias("all")))).filter(F.col("n") >= ALL_SHARE * F.col("all"))  # one row beside each
     often = often.unionByName(on.join(wide.select("key"), "key", "left_semi").select("site", "key"))
     common = staged(often.groupBy("site").agg(F.collect_set("key").alias("common")), "common")
-    small = rows.select("site").distinct().count() <= BROADCAST_SITES
+    small = urls.count() <= BROADCAST_SITES
     near = F.broadcast if small else (lambda df: df)
     rows = rows.join(near(common), "site", "left").withColumn("hits", F.coalesce(F.array_intersect("keys", "common"), F.array().cast("array<bigint>"))).drop("common")
     rows = rows.withColumn("own", F.transform("keys", lambda k: ~F.array_contains("hits", k)))
     own = F.filter(F.arrays_zip("codes", "chars", "puncts", "own"), lambda x: x["own"])
     per = rows.select("site", F.explode(own).alias("x")).groupBy("site", (F.col("x.codes") % _TITLE).alias("code")).agg(F.sum("x.chars").alias("c"), F.sum("x.puncts").alias("p"), F.count("*").alias("n"))
+    per = staged(per, "paths")
     all_ = per.groupBy("code").agg((F.sum("c") / F.sum("n")).alias("mc"), (F.sum("p") / F.sum("n")).alias("mp"))  # nine rows
     fused = (F.col("c") + WEIGHT * F.col("mc")) / (F.col("n") + WEIGHT) * (F.col("p") + WEIGHT * F.col("mp")) / (F.col("n") + WEIGHT)
     limit = all_.agg(F.least(F.lit(THRESHOLD), F.max(F.col("mc") * F.col("mp")) / 2).alias("limit"))  # one row
-    ratios = staged(per.join(F.broadcast(all_), "code").crossJoin(F.broadcast(limit)).groupBy("site", "limit").agg(F.map_from_entries(F.collect_list(F.struct("code", fused))).alias("ratios")), "ratios")  # nine paths a site
-    scored = rows.join(near(ratios), "site", "left")
-    alone = F.transform(F.arrays_zip("codes", "own"), lambda x: F.when(x["own"], F.coalesce(F.try_element_at("ratios", x["codes"] % _TITLE), F.lit(0.0))).otherwise(F.lit(0.0)))
-    scored = scored.withColumn("r0", alone)
-    scored = scored.withColumn("prose", F.exists(F.arrays_zip("codes", "own"), lambda x: (x["codes"] == _PROSE) & x["own"]))
-    at = lambda name, i: F.coalesce(F.when(i >= 0, F.get(F.col(name), i)), F.lit(0.0))
-    mean = lambda a, b: (a + b) / 2
-    beside = lambda x: F.when((x["codes"] == _SENTENCE) & x["own"], mean(x["r0"], F.when(~F.col("prose"), x["r0"]).otherwise(F.greatest(at("r0", x["up"]), at("r0", x["down"]))))).otherwise(x["r0"])
-    scored = scored.withColumn("r1", F.transform(F.arrays_zip("codes", "own", "r0", "up", "down"), beside))
+    by = per.join(F.broadcast(all_), "code").groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("code", fused))).alias("m"))  # nine paths a site
+    by = by.select("site", F.array(*[F.coalesce(F.try_element_at("m", F.lit(c).cast("int")), F.lit(0.0)) for c in range(_TITLE)]).alias("ratios"))
+    sites = staged(by.crossJoin(F.broadcast(limit)), "ratios")
+    scored = rows.join(near(sites), "site", "left")
+    none = F.array_repeat(F.lit(0.0), F.lit(_TITLE))
     more = ["first", "second", "words"] if judge else []
+    return scored.select("page_id", *keep, "nos", "codes", "own", "near", "up", "down", F.coalesce("ratios", none).alias("ratios"), F.coalesce("limit", F.lit(THRESHOLD)).alias("limit"), *more)
+
+
+_SCORED = StructType([StructField("ratios", ArrayType(DoubleType())), StructField("template", ArrayType(IntegerType()))])
 
-    def score(x):
-        ratio = F.when((x["codes"] % _TITLE >= 3) & x["own"], mean(x["r0"], at("r1", x["near"]))).otherwise(x["r1"])
-        ratio = F.when(x["codes"] >= _TITLE, F.greatest(ratio, F.lit(2 * THRESHOLD))).otherwise(ratio)
-        return F.struct(x["nos"].alias("line_no"), x["codes"].alias("code"), ratio.alias("ratio"), (ratio < F.coalesce("limit", F.lit(THRESHOLD))).alias("template"), *[x[n].alias(n) for n in more])
 
-    return scored.select("page_id", *keep, F.transform(F.arrays_zip("nos", "codes", "own", "near", "r0", "r1", *more), score).alias("ls"))
+@F.pandas_udf(_SCORED)
+def _scored(nos: pd.Series, codes: pd.Series, own: pd.Series, near: pd.Series, up: pd.Series, down: pd.Series, ratios: pd.Series, limit: pd.Series) -> pd.DataFrame:
+    out = []
+    for n, c, o, a, u, d, r, t in zip(nos, codes, own, near, up, down, ratios, limit):
+        got = line_ratios(c.tolist(), o.tolist(), a.tolist(), u.tolist(), d.tolist(), r.tolist())
+        out.append((got, [i for i, x in zip(n.tolist(), got) if x < t]))
+    return pd.DataFrame(out, columns=_SCORED.names)
+
+
+def scored_pages(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(page_id, *keep, nos, codes, ratios, template) of every page: numbers, paths and ratios of its non-blank lines, and the numbers of the template's.
+
+    A path's ratio is characters per node times punctuation marks per node over all pages, mixed with the same over the
+    page's site. A line of at least eight words that stands on at least 6 and 15 % of its site's urls is the template's, and
+    so is a paragraph of at most one sentence that, without words of the site's name, stands on at least 6 and 0.2 % of all
+    urls. Smoothing takes the mean of a line's ratio and that of the line it belongs to. The line that repeats the page's
+    stored title is content. Null and empty texts have no lines; a null title or site only takes away a hint. Pages that
+    repeat an id are scored each.
+    """
+    s = _scored("nos", "codes", "own", "near", "up", "down", "ratios", "limit")
+    return measured_pages(pages, keep).select("page_id", *keep, "nos", "codes", s.alias("s")).select("page_id", *keep, "nos", "codes", "s.ratios", "s.template")
 
 
 def scored_lines(pages: DataFrame) -> DataFrame:
     """``scored_pages`` with a row for each line: (page_id, line_no, path, ratio, template)."""
     names = F.array(*[F.lit(f"{m}/{s}{t}") for t in ("", "/title") for m in MARKS for s in SHAPES])
-    return scored_pages(pages).select("page_id", F.explode("ls").alias("x")).select("page_id", "x.line_no", F.get(names, F.col("x.code")).alias("path"), "x.ratio", "x.template")
+    lines = scored_pages(pages).select("page_id", "template", F.explode(F.arrays_zip("nos", "codes", "ratios")).alias("x"))
+    return lines.select("page_id", F.col("x.nos").alias("line_no"), F.get(names, F.col("x.codes")).alias("path"), F.col("x.ratios").alias("ratio"), F.array_contains("template", F.col("x.nos")).alias("template"))
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
     """(page_id, line_no) of every non-blank line that the site's template adds."""
-    return scored_pages(pages).select("page_id", F.explode(F.filter("ls", lambda x: x["template"])).alias("x")).select("page_id", "x.line_no")
+    return scored_pages(pages).select("page_id", F.explode("template").alias("line_no"))
 
 
 def main_body(pages: DataFrame) -> DataFrame:
     """(page_id, body): each page's own lines in order; "" where the template is all there is, null where there is no text."""
-    gone = F.transform(F.filter("ls", lambda x: x["template"]), lambda x: x["line_no"])
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("template", i))
     return scored_pages(pages, ["text"]).select("page_id", F.btrim(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"), F.lit(" \n")).alias("body"))
