@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,8 +57,7 @@ def tokens(text: Column, own: Sequence[str] = ()) -> Column:
     t = F.regexp_replace(t, r"\b([a-z])\.(?=[a-z]\b|[a-z]{2,}\b)", "$1")
     t = F.regexp_replace(t, r"(?<=\d)[,\s](?=\d{3}\b)", "")
     found = F.regexp_extract_all(t, F.lit(r"[a-z0-9]+|[\p{L}\p{Nl}\p{No}&&[^a-z]]+"), F.lit(0))
-    stop = F.array(*map(F.lit, [*STOPWORDS, *own]))
-    return F.filter(found, lambda x: ~F.array_contains(stop, x) & ((F.length(x) > 1) | x.rlike(r"^\d$")))
+    return F.filter(found, lambda x: ~x.isin(*STOPWORDS, *own) & ((F.length(x) > 1) | x.between("0", "9")))
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -66,10 +66,17 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor((F.length(text) + other) / 4).cast("int") + 1
 
 
-def coverage(query: Column, text: Column, own: Sequence[str] = ()) -> Column:
-    """Share of the query's distinct terms that the text has; 0 for a query without terms."""
-    q = F.array_distinct(tokens(query, own))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text, own))) / F.size(q)).otherwise(F.lit(0.0))
+def coverage(query: Column, text: Column, own: Sequence[str] = (), spelled: Mapping[str, str] = {}) -> Column:
+    """Share of the query's distinct terms that the text has; 0 for a query without terms.
+
+    A short form of ``spelled`` (form: meaning) is covered also where the text has all longer words of its meaning.
+    """
+    q, t = F.array_distinct(tokens(query, own)), F.array_distinct(tokens(text, own))
+    hit = F.size(F.array_intersect(q, t))
+    for short, meaning in spelled.items():
+        full = F.array(*[F.lit(w) for w in re.findall("[a-z0-9]+", meaning.lower()) if w != short and len(w) > 2 and w not in STOPWORDS])
+        hit = hit + F.when(F.array_contains(q, short) & ~F.array_contains(t, short) & (F.size(full) > 0) & (F.size(F.array_except(full, t)) == 0), 1).otherwise(0)
+    return F.when(F.size(q) > 0, hit / F.size(q)).otherwise(F.lit(0.0))
 
 
 def sanitized(text: Column) -> Column:

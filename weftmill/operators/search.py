@@ -2,31 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftmill.functions.text import coverage, tokens
+from weftmill.shared import new_path, staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, KEYWORD_WEIGHT, PAGE_BONUS = 60, 0.15, 0.001
 FRESHNESS, FRESHNESS_URGENT, SAME_TOPIC = 0.0015, 0.03, 0.03
 FRESH_DAYS, STALE_DAYS, NEWER_WITHIN = 180, 540, 365
 PER_SOURCE, TOP_K, CONTEXT_TOKENS, THRESHOLD = 2, 3, 1100, 0.5
+CANDIDATES, CANDIDATES_URGENT, NAMED_CHUNKS = 12, 24, 150
+#: Rows of the smaller side of a join that are broadcast at most; beyond that both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
-def postings(docs: DataFrame, key: str, text: str = "text", own: Sequence[str] = ()) -> DataFrame:
-    """(term, key, tf, len): how often each term is in each text. Null texts have none."""
-    t = docs.select(key, tokens(F.col(text), own).alias("ts")).filter("ts is not null")
-    return t.select(key, F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows; it should be staged."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def corpus_stats(docs: DataFrame, text: str = "text", own: Sequence[str] = ()) -> DataFrame:
-    """One row: number of texts and their mean length in terms; a null text has no terms."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(F.coalesce(tokens(F.col(text), own), F.array().cast("array<string>")))).alias("avg_len"))
+class KeywordIndex:
+    """A saved index of texts for keyword search: postings in order of their terms, inverse frequencies, and one row of statistics.
+
+    It is built once, each text being tokenized once, and read by any number of searches: of the postings, only those of
+    asked terms.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, own: Sequence[str] = ()):
+        self.path, self.own = path.rstrip("/"), tuple(own)
+        read = lambda name: spark.read.parquet(f"{self.path}/{name}")
+        self.postings, self.terms, self.stats = read("postings"), read("terms"), read("stats")
+
+    @staticmethod
+    def build(docs: DataFrame, key: str = "chunk_id", text: str = "text", own: Sequence[str] = (), path: str | None = None) -> KeywordIndex:
+        """An index of all ``docs``; null texts have no terms. Without a path it lies among the staged tables."""
+        spark, path = docs.sparkSession, path or new_path(docs.sparkSession, "index")
+        words = staged(docs.select(key, tokens(F.col(text), own).alias("ts")), "words")
+        post = words.select(key, F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
+        post.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        words.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(F.size("ts"), F.lit(0))).alias("avg_len")).coalesce(1).write.parquet(f"{path}/stats")
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        inverse_frequencies(read("postings"), read("stats")).write.parquet(f"{path}/terms")
+        return KeywordIndex(spark, path, own)
+
+    def search(self, queries: DataFrame, k: int, query_key: str = "query_id", query: str = "query", key: str = "chunk_id") -> DataFrame:
+        """(query_key, key, score, rank): the k best texts of each query by Okapi BM25; only scores above 0, ties by key.
+
+        A repeated term of a query counts as often. Asked terms take their frequencies first and meet the postings in one
+        join, broadcast if they are few; scores are summed partly before the shuffle.
+        """
+        asked = queries.select(query_key, F.explode(tokens(F.col(query), self.own)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qn"))
+        asked = staged(self.terms.join(asked, "term").select("term", query_key, (F.col("qn") * F.col("idf")).alias("w")), "asked")
+        hits = self.postings.join(_small(asked), "term").crossJoin(F.broadcast(self.stats))  # stats: one row
+        part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        scores = hits.groupBy(query_key, key).agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
+        return top(scores, k, query_key, F.desc("score"), F.col(key)).select(query_key, key, "score", "rank")
 
 
 def inverse_frequencies(post: DataFrame, stats: DataFrame) -> DataFrame:
@@ -43,19 +79,8 @@ def top(df: DataFrame, k: int, by: str, *order: Column) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query_key: str = "query_id", query: str = "query", key: str = "chunk_id", text: str = "text", own: Sequence[str] = ()) -> DataFrame:
-    """(query_key, key, score, rank): the k best texts of each query by Okapi BM25; only scores above 0, ties by key.
-
-    A repeated term of a query counts as often. Query terms meet postings in an equi-join: only postings of asked terms
-    are read further, and scores are summed partly before the shuffle.
-    """
-    asked = queries.select(query_key, F.explode(tokens(F.col(query), own)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qn"))
-    post = postings(docs, key, text, own)
-    stats = corpus_stats(docs, text, own)
-    idf = inverse_frequencies(post, stats)
-    hits = post.join(idf, "term").join(asked, "term").crossJoin(F.broadcast(stats))
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scores = hits.groupBy(query_key, key).agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
-    return top(scores, k, query_key, F.desc("score"), F.col(key)).select(query_key, key, "score", "rank")
+    """``KeywordIndex.search`` over an index built for it; keep the index where there is more than one search."""
+    return KeywordIndex.build(docs, key, text, own).search(queries, k, query_key, query, key)
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", query: str = "q", key: str = "vec_id", vector: str = "embedding", same: str | None = None, block: int = 512) -> DataFrame:
@@ -135,11 +160,11 @@ def age_days(url: Column, at: Column, academic_year: Column, as_of: Column) -> C
     return F.when(~F.coalesce(home, F.lit(False)), F.greatest(F.lit(0.0), days))
 
 
-def recency(age: Column, urgent: bool) -> Column:
-    """From -1 to 1; the undated are neutral. Gentle over two years, or from full before 180 to -1 after 540 days."""
+def recency(age: Column, urgent: bool | Column) -> Column:
+    """From -1 to 1; the undated are neutral. Gentle over two years, or, if urgent, from full before 180 to -1 after 540 days."""
     soft = F.greatest(F.lit(0.0), 1 - age / 730)
     hard = F.when(age <= FRESH_DAYS, 1.0).when(age >= STALE_DAYS, -1.0).otherwise(1 - 2 * (age - FRESH_DAYS) / (STALE_DAYS - FRESH_DAYS))
-    return F.coalesce(hard if urgent else soft, F.lit(0.0))
+    return F.coalesce(F.when(F.lit(urgent) if isinstance(urgent, bool) else urgent, hard).otherwise(soft), F.lit(0.0))
 
 
 def content_year(academic_year: Column, at: Column) -> Column:
@@ -148,16 +173,17 @@ def content_year(academic_year: Column, at: Column) -> Column:
     return F.when(y != "", y.try_cast("int")).when(F.month(at) >= 6, F.year(at)).otherwise(F.year(at) - 1)
 
 
-def graded(hits: DataFrame, urgent: bool) -> DataFrame:
-    """``hits`` (cosine, coverage, rrf, age, content_type) with grade and rank_score."""
+def graded(hits: DataFrame, urgent: bool | Column) -> DataFrame:
+    """``hits`` (cosine, coverage, rrf, age, content_type) with grade and rank_score; urgency may differ by row."""
+    urgent = F.lit(urgent) if isinstance(urgent, bool) else urgent
     grade = F.round(F.col("cosine") + KEYWORD_WEIGHT * F.col("coverage"), 3)
     fresh = recency(F.col("age"), urgent)
     calm = F.col("rrf") + FRESHNESS * fresh + F.when(F.col("content_type") == "html", PAGE_BONUS).otherwise(0.0)
-    return hits.withColumn("grade", grade).withColumn("rank_score", F.round(F.col("grade") + FRESHNESS_URGENT * fresh if urgent else calm, 9))
+    return hits.withColumn("grade", grade).withColumn("rank_score", F.round(F.when(urgent, F.col("grade") + FRESHNESS_URGENT * fresh).otherwise(calm), 9))
 
 
-def without_outdated(hits: DataFrame, threshold: float, query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """``hits`` (year, coverage, grade, age) without those that a newer hit of the same query replaces.
+def without_outdated(hits: DataFrame, threshold: float, query_key: str = "query_id", key: str = "chunk_id", only: Column | None = None) -> DataFrame:
+    """``hits`` (year, coverage, grade, age) without those that a newer hit of the same query replaces; with ``only``, of such queries.
 
     A hit goes if one of a later year covers as much and is graded at least ``threshold``; or if it is stale and one of
     the last 365 days is graded at most 0.03 lower. All are held against the full list: per query a maximum over later
@@ -169,6 +195,7 @@ def without_outdated(hits: DataFrame, threshold: float, query_key: str = "query_
     new = F.max(F.when(F.col("age") <= NEWER_WITHIN, F.col("grade"))).over(all_)
     d = hits.withColumn("_best", F.when(F.col("year").isNotNull(), F.max(F.when(F.col("year").isNotNull(), good)).over(later))).withColumn("_new", new)
     gone = (F.col("_best") >= F.col("coverage")) | (F.col("age") >= STALE_DAYS) & (F.col("_new") >= F.col("grade") - SAME_TOPIC)
+    gone = gone if only is None else gone & only
     return d.filter(~F.coalesce(gone, F.lit(False))).drop("_best", "_new")
 
 
@@ -219,8 +246,46 @@ TITLES = ["mr", "mrs", "ms", "miss", "dr", "fr", "prof", "sr", "sj", "rev", "br"
 ADDRESSED = r"(?i)\b(sir|madam|ma'?am|mam|miss|teacher|professor|prof|dr|mr|mrs|ms|fr|who is|who's|contact|email|e-mail)\b"
 
 
-def with_coverage(hits: DataFrame, query: str = "query", text: str = "text", own: Sequence[str] = ()) -> DataFrame:
-    return hits.withColumn("coverage", coverage(F.col(query), F.col(text), own))
+def with_coverage(hits: DataFrame, query: str = "query", text: str = "text", own: Sequence[str] = (), spelled: Mapping[str, str] = {}) -> DataFrame:
+    """``hits`` with ``coverage``; a short form of ``spelled`` counts as covered also where the text has all words of its meaning."""
+    return hits.withColumn("coverage", coverage(F.col(query), F.col(text), own, spelled))
+
+
+def candidates(keyword: DataFrame, vector: DataFrame, urgent: DataFrame, query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
+    """(query_key, key, rrf) of ranked lists: 12 of each for a query, 24 for one of ``urgent`` (query_key, urgent)."""
+    most = F.when(F.coalesce("urgent", F.lit(False)), CANDIDATES_URGENT).otherwise(CANDIDATES)
+    cut = lambda r: r.join(urgent.select(query_key, "urgent"), query_key, "left").filter(F.col("rank") <= most)
+    return fused(cut(keyword), cut(vector), query_key=query_key, key=key)
+
+
+def with_named(hits: DataFrame, named: DataFrame, profiles: DataFrame, index: KeywordIndex, chunks: DataFrame, vectors: DataFrame, query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
+    """``hits`` and, for queries that name people, also their profiles' chunks and up to 150 chunks that match a name.
+
+    ``named`` has (query_key, name), ``profiles`` (name, key) of the chunks about a person, ``chunks`` what hits have of a
+    chunk, ``vectors`` (key, e) and for queries (query_key, qe) in ``hits``' terms. Those added are graded by cosine alone.
+    """
+    names = staged(named.select("name").distinct().withColumn("_n", F.xxhash64("name")), "names")
+    found = index.search(names, NAMED_CHUNKS, "_n", "name", key).join(names, "_n").select("name", key)
+    wanted = named.join(found.unionByName(profiles.select("name", key)), "name").select(query_key, key).distinct()
+    new = wanted.join(hits.select(query_key, key), [query_key, key], "left_anti").join(chunks, key)
+    asked = hits.groupBy(query_key).agg(*[F.any_value(c).alias(c) for c in ("query", "qe", "urgent")])
+    score = F.round(F.coalesce(cosine(F.col("qe"), F.col("ce")), F.lit(0.0)), 3)
+    new = new.join(asked, query_key).join(vectors, key, "left").withColumn("cosine", score).withColumn("grade", score).withColumn("rank_score", score)
+    new = new.withColumn("coverage", F.lit(0.0)).withColumn("rrf", F.lit(0.0)).withColumn("age", F.lit(None).cast("double"))
+    return hits.unionByName(new.select(*hits.columns))
+
+
+def with_neighbour(hits: DataFrame, chunks: DataFrame, k: int = TOP_K, query_key: str = "query_id") -> DataFrame:
+    """(query_key, chunk_id, rank): the first k hits and, after the best of them, the chunk that goes on under the same heading.
+
+    ``hits`` have a rank from 1. Nothing is added if that chunk is among them already.
+    """
+    kept = hits.filter(F.col("rank") <= k)
+    first = kept.filter(F.col("rank") == 1).select(query_key, "source_id", "chunk_index", "heading")
+    after = next_chunks(first, chunks).filter("next_id is not null").select(query_key, F.col("next_id").alias("chunk_id"))
+    after = after.join(kept.select(query_key, "chunk_id"), [query_key, "chunk_id"], "left_anti")
+    both = kept.select(query_key, "chunk_id", (F.col("rank") * 2).alias("o")).unionByName(after.select(query_key, "chunk_id", F.lit(3).alias("o")))
+    return both.select(query_key, "chunk_id", F.row_number().over(Window.partitionBy(query_key).orderBy("o")).alias("rank"))
 
 
 def people_first(hits: DataFrame, named: DataFrame, threshold: float = THRESHOLD, query_key: str = "query_id", profile: str = "is_profile", text: str = "text") -> DataFrame:

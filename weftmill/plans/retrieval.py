@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftmill.functions import text as T
 from weftmill.operators import facts, guard, search
 from weftmill.plans.registry import registered
-from weftmill.shared import staged, table
+from weftmill.shared import spread, staged, table
 
 QUERIES, SQL = {}, {}
 AS_OF = "2026-06-01 00:00:00"
@@ -34,7 +34,7 @@ _TOKENS = "list_filter(regexp_extract_all(" + _JOINED + ", '[a-z0-9]+|[^\\x00-\\
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", "source_id", "chunk_index", "heading", "text")
+    return spread(table(spark, d, "chunks")).select("chunk_id", "source_id", "chunk_index", "heading", "text")
 
 
 def _questions(chunks: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ _CORPUS = f"""
 @query(f"with {_CORPUS} select term, df, round(idf, 6) as idf from idf")
 def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    return search.inverse_frequencies(search.postings(c, "chunk_id"), search.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.KeywordIndex.build(c).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_CORPUS} select query_id, chunk_id, round(score, 6) as score, cast(rank as int) as rank from bm")
@@ -111,11 +111,9 @@ _FUSED = f"""
 """
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of both searches with what ranking needs; a chunk's vector is the one of its number."""
-    c = _chunks(spark, d)
-    q, v = _vectors(spark, d)
-    rrf = search.fused(search.bm25(_questions(c), c, 12), search.dense(q, v, 12).withColumnRenamed("vec_id", "chunk_id"))
+def _described(spark: SparkSession, d: str, rrf: DataFrame) -> DataFrame:
+    """Hits with what ranking needs; a chunk's vector is the one of its number."""
+    c, v = _chunks(spark, d), table(spark, d, "embeddings")
     s = table(spark, d, "sources").select("source_id", "url", "content_type", "academic_year", "published_at")
     h = rrf.join(c, "chunk_id").join(_questions(c), "query_id").join(s, "source_id", "left")
     vec = lambda key, name: v.select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
@@ -123,7 +121,15 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     h = search.with_coverage(h).withColumn("cosine", F.coalesce(search.cosine(F.col("qe"), F.col("ce")), F.lit(0.0)))
     as_of = F.lit(AS_OF).cast("timestamp_ntz")
     h = h.withColumn("age", search.age_days(F.col("url"), F.col("published_at"), F.col("academic_year"), as_of)).withColumn("year", search.content_year(F.col("academic_year"), F.col("published_at")))
-    return h.drop("qe", "ce").withColumn("tokens", T.estimated_tokens(F.col("text")))
+    return h.withColumn("tokens", T.estimated_tokens(F.col("text")))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve candidates of either search."""
+    c = _chunks(spark, d)
+    q, v = _vectors(spark, d)
+    rrf = search.fused(search.bm25(_questions(c), c, 12), search.dense(q, v, 12).withColumnRenamed("vec_id", "chunk_id"))
+    return _described(spark, d, rrf).drop("qe", "ce")
 
 
 @query(f"with {_FUSED} select query_id, chunk_id, round(rrf, 6) as rrf from rrf")
@@ -189,20 +195,103 @@ def next_chunk(spark: SparkSession, d: str) -> DataFrame:
     return search.next_chunks(c.select("chunk_id", "source_id", "chunk_index", "heading"), c).select("chunk_id", "next_id")
 
 
-@query()
-def hybrid_context(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: candidates of both searches, graded, replaced by newer ones, two a source, the best within the budget."""
-    h = search.diverse(search.without_outdated(search.graded(_hits(spark, d), True), ON_TOPIC))
-    h = search.top(staged(h, "hits"), search.TOP_K, "query_id", F.desc("rank_score"), F.col("chunk_id"))
-    return search.within_budget(h).select("query_id", "pos", F.col("chunk_id").cast("long").alias("chunk_id"))
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    """People are the titles of pages about one person."""
+    return table(spark, d, "extracted_pages").filter("title like '%, Department of %'").select(F.regexp_extract("title", "^([^,]*),", 1).alias("name")).distinct()
 
 
-@query()
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    """(name, chunk_id): chunks under a heading "About" a person."""
+    return _chunks(spark, d).filter("heading like 'About %'").select(F.substring("heading", 7, 1000).alias("name"), "chunk_id")
+
+
+_TITLES = ", ".join(f"'{w}'" for w in search.TITLES)
+_WORDS = "list_filter(regexp_extract_all(lower({0}), '[a-z]+'), lambda w: w not in (" + _TITLES + "))"
+_NAMED = f"""
+    people as (select distinct regexp_extract(title, '^([^,]*),', 1) as name from extracted_pages where title like '%, Department of %'),
+    pw as (select name, {_WORDS.format('name')} as ws from people where len(list_distinct({_WORDS.format('name')})) >= 2),
+    qw as (select query_id, list_distinct({_WORDS.format('query')}) as qs, regexp_matches(query, '{search.ADDRESSED.replace("'", "''")}') as addressed from questions),
+    whole as (select query_id, name from qw, pw where list_has_all(qs, ws)),
+    rare as (select ws[1] as w, name from pw where ws[1] in (select ws[1] from pw group by 1 having count(*) <= 3)),
+    some as (select query_id, w, name from qw join rare on list_contains(qs, w) where addressed and query_id not in (select query_id from whole)),
+    named as (select query_id, name from whole union all select distinct query_id, name from some join (select query_id, min(w) as w from some group by query_id) using (query_id, w))
+"""
+_URGENT = guard._any(guard.Rules().urgent)
+_AFTER = "(select source_id, chunk_index - 1 as i, min(chunk_id) as next_id from chunks group by all)"
+_GOES_ON = f"""
+    len(list_filter(list_intersect(list_filter({_TOKENS.format('query')}, lambda w: not regexp_matches(w, '^[0-9]+$') and w not in ({", ".join(f"'{w}'" for w in guard.TOPICS)})), {_TOKENS.format('substr(text, greatest(length(text) - 299, 1), 300)')}),
+      lambda w: not list_contains({_TOKENS.format('substr(text, 1, greatest(length(text) - 300, 0))')}, w))) > 0
+"""
+_CONTINUED = f"""
+    pairs0 as (select m.query_id, m.chunk_id as first, a.next_id, rank from more m join (select source_id, chunk_index - 1 as i, chunk_id as next_id from chunks) a on a.source_id = m.source_id and a.i = m.chunk_index where {_GOES_ON}),
+    pairs1 as (select query_id, first, min(next_id) as next_id, min(rank) as rank from pairs0 p where not exists (select 1 from more m where m.query_id = p.query_id and m.chunk_id = p.next_id) group by query_id, first),
+    pairs as (select query_id, next_id, arg_min(first, rank) as first, min(rank) as rank from pairs1 group by query_id, next_id),
+    placed as (select query_id, chunk_id, row_number() over (partition by query_id order by paired desc, rank, sub, chunk_id) as pos, paired from (
+      select m.query_id, m.chunk_id, m.rank, p.first is not null as paired, 0 as sub from more m left join pairs p on p.query_id = m.query_id and p.first = m.chunk_id
+      union all select query_id, next_id, rank, true, 1 from pairs))
+"""
+_HYBRID = f"""
+    {_CORPUS}, {_VEC}, {_AGE}, questions as (select chunk_id as query_id, heading as query, coalesce(regexp_matches(heading, '{_URGENT}'), false) as urgent, list_distinct({_TOKENS.format('heading')}) as qs from chunks where chunk_id % 100 = 0), {_NAMED},
+    lists as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scores union all select query_id, vec_id as chunk_id, row_number() over (partition by query_id order by score desc, vec_id) as rank from sim),
+    rrf2 as (select query_id, chunk_id, sum(1.0 / (60 + rank)) as rrf from lists join questions using (query_id) where rank <= case when urgent then 24 else 12 end group by all),
+    told as (select c.*, content_type, age, case when regexp_extract(academic_year, '^(\\d{{4}})', 1) <> '' then cast(left(academic_year, 4) as int) when month(published_at) >= 6 then year(published_at) else year(published_at) - 1 end as year from chunks c left join aged using (source_id)),
+    hits0 as (select r.query_id, r.chunk_id, urgent, rrf, case when len(qs) > 0 then len(list_intersect(qs, {_TOKENS.format('t.text')})) * 1.0 / len(qs) else 0 end as coverage, coalesce(list_cosine_similarity(a.e, b.e), 0) as cosine, t.age, t.year, t.content_type, t.source_id, t.text
+      from rrf2 r join told t on t.chunk_id = r.chunk_id join questions q on q.query_id = r.query_id left join v a on a.vec_id = r.query_id left join v b on b.vec_id = r.chunk_id),
+    hits1 as (select *, round(cosine + 0.15 * coverage, 3) as grade, coalesce(case when age <= 180 then 1 when age >= 540 then -1 else 1 - 2 * (age - 180) / 360 end, 0) as hard, coalesce(greatest(0, 1 - age / 730), 0) as soft from hits0),
+    nasked as (select name, term, count(*) as qn from (select distinct name, unnest({_TOKENS.format('name')}) as term, generate_subscripts({_TOKENS.format('name')}, 1) as n from (select distinct name from named)) group by all),
+    nscores as (select name, chunk_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 9) as score from tf join idf using (term) join nasked using (term), stats group by all having score > 0),
+    profiles as (select substr(heading, 7) as name, chunk_id from chunks where heading like 'About %'),
+    wanted as (select distinct query_id, chunk_id from named join (select name, chunk_id from nscores qualify row_number() over (partition by name order by score desc, chunk_id) <= 150 union all select name, chunk_id from profiles) using (name)),
+    extra as (select w.query_id, w.chunk_id, q.urgent, 0.0 as coverage, round(coalesce(list_cosine_similarity(a.e, b.e), 0), 3) as grade, null::double as age, t.year, t.content_type, t.source_id, t.text from wanted w join told t on t.chunk_id = w.chunk_id join questions q on q.query_id = w.query_id
+      left join v a on a.vec_id = w.query_id left join v b on b.vec_id = w.chunk_id where w.query_id in (select query_id from hits0) and not exists (select 1 from hits0 h where h.query_id = w.query_id and h.chunk_id = w.chunk_id)),
+    hits2 as (select query_id, chunk_id, urgent, coverage, grade, age, year, content_type, source_id, text, round(case when urgent then grade + 0.03 * hard else rrf + 0.0015 * soft + case when content_type = 'html' then 0.001 else 0 end end, 9) as score from hits1
+      union all select query_id, chunk_id, urgent, coverage, grade, age, year, content_type, source_id, text, grade as score from extra),
+    ns as (select query_id, list(distinct lower(name)) as names from named group by query_id), own as (select distinct query_id, chunk_id from named join profiles using (name)),
+    hits3 as (select h.*, case when names is null then null when o.chunk_id is not null then 1.0 when len(list_filter(names, lambda n: contains(lower(text), n) or contains(lower(text), array_to_string(list_reverse(string_split(n, ' ')), ' ')))) > 0 then case when content_type = 'html' then 0.5 else 0.1 end end as bonus
+      from hits2 h left join ns using (query_id) left join own o on o.query_id = h.query_id and o.chunk_id = h.chunk_id),
+    good as (select query_id, chunk_id, urgent, coverage, age, year, source_id, coalesce(bonus + grade, score) as score, case when bonus is not null then greatest(grade, {ON_TOPIC}) else grade end as grade from hits3 where case when bonus is not null then greatest(grade, {ON_TOPIC}) else grade end >= {ON_TOPIC * 0.9}),
+    fresh as (select * from good o where not (urgent and exists (select 1 from good n where n.query_id = o.query_id and ((n.year > o.year and n.coverage >= o.coverage and n.grade >= {ON_TOPIC}) or (o.age >= 540 and n.age <= 365 and n.grade >= o.grade - 0.03))))),
+    best as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select * from fresh qualify row_number() over (partition by query_id, source_id order by score desc, chunk_id) <= 2) qualify rank <= 3),
+    after as (select b.query_id, a.next_id as chunk_id from best b join chunks c on c.chunk_id = b.chunk_id join {_AFTER} a on a.source_id = c.source_id and a.i = c.chunk_index join chunks x on x.chunk_id = a.next_id where rank = 1 and x.heading is not distinct from c.heading
+      and not exists (select 1 from best o where o.query_id = b.query_id and o.chunk_id = a.next_id)),
+    more as (select query_id, chunk_id, source_id, chunk_index, text, query, row_number() over (partition by query_id order by o) as rank from (select query_id, chunk_id, rank * 2 as o from best union all select query_id, chunk_id, 3 as o from after) join chunks using (chunk_id) join questions using (query_id)),
+    {_CONTINUED}, sized as (select query_id, chunk_id, pos, cast(floor((length(text) + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) / 4.0) as int) + 1 as t from placed join chunks using (chunk_id)),
+    spent(query_id, chunk_id, pos, used, kept) as (select query_id, chunk_id, pos, t, true from sized where pos = 1
+      union all select s.query_id, s.chunk_id, s.pos, p.used + case when p.used + s.t <= 1100 then s.t else 0 end, p.used + s.t <= 1100 from spent p join sized s on s.query_id = p.query_id and s.pos = p.pos + 1)
+"""
+
+
+@query(f"with recursive {_HYBRID} select query_id, cast(row_number() over (partition by query_id order by pos) - 1 as int) as pos, chunk_id from spent where kept")
+def hybrid_context(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: 12 candidates of both searches, 24 where the newest must win, and the chunks about people who are named;
+    graded, those people first, outdated ones dropped, two a source, the best three with what goes on after them, within the budget."""
+    c = _chunks(spark, d)
+    index = search.KeywordIndex.build(c)
+    questions = staged(_questions(c).withColumn("urgent", guard.is_urgent(F.col("query"))), "questions")
+    q, v = _vectors(spark, d)
+    most = search.CANDIDATES_URGENT
+    rrf = search.candidates(index.search(questions, most), search.dense(q, v, most).withColumnRenamed("vec_id", "chunk_id"), questions)
+    h = _described(spark, d, rrf).join(questions.select("query_id", "urgent"), "query_id")
+    h = search.graded(h, F.col("urgent"))
+    named = staged(search.people_named(questions, _people(spark, d)), "named")
+    s = table(spark, d, "sources").select("source_id", "url", "content_type", "academic_year", "published_at")
+    chunks = c.join(s, "source_id", "left").withColumn("tokens", T.estimated_tokens(F.col("text"))).withColumn("year", search.content_year(F.col("academic_year"), F.col("published_at")))
+    h = staged(search.with_named(h, named, _profiles(spark, d), index, chunks, v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("ce"))).drop("qe", "ce"), "hits")
+    own = named.join(_profiles(spark, d), "name").select("query_id", "chunk_id").distinct().withColumn("is_profile", F.lit(True))
+    h = search.people_first(h.join(own, ["query_id", "chunk_id"], "left").withColumn("is_profile", F.coalesce("is_profile", F.lit(False))), named, ON_TOPIC)
+    good = h.filter(F.col("grade") >= ON_TOPIC * 0.9)
+    good = search.diverse(search.without_outdated(good, ON_TOPIC, only=F.col("urgent")))
+    best = staged(search.top(good, search.TOP_K, "query_id", F.desc("rank_score"), F.col("chunk_id")), "best")
+    more = search.with_neighbour(best, c).join(c, "chunk_id").join(questions, "query_id")
+    placed = search.with_continuations(more, c, guard.TOPICS).withColumnRenamed("pos", "rank").join(c.select("chunk_id", T.estimated_tokens(F.col("text")).alias("tokens")), "chunk_id")
+    return search.within_budget(placed).select("query_id", "pos", F.col("chunk_id").cast("long").alias("chunk_id"))
+
+
+@query(f"with questions as (select chunk_id as query_id, text as query from chunks), {_NAMED} select query_id, name from named")
 def people_named(spark: SparkSession, d: str) -> DataFrame:
-    """Whom chunks name: people are the titles of pages about one person."""
-    people = table(spark, d, "extracted_pages").filter("title like '%, Department of %'").select(F.regexp_extract("title", "^([^,]*),", 1).alias("name"))
+    """Whom chunks name."""
     q = table(spark, d, "chunks").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"))
-    return search.people_named(q, people)
+    return search.people_named(q, _people(spark, d))
 
 
 @query()
@@ -260,13 +349,12 @@ def translation_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def people_first(spark: SparkSession, d: str) -> DataFrame:
     """Hits with those first that name whom the question's heading names."""
-    people = table(spark, d, "extracted_pages").filter("title like '%, Department of %'").select(F.regexp_extract("title", "^([^,]*),", 1).alias("name"))
     h = search.graded(_hits(spark, d), False).withColumn("is_profile", F.coalesce(F.col("heading").startswith("About "), F.lit(False)))
-    named = search.people_named(_questions(_chunks(spark, d)), people)
+    named = search.people_named(_questions(_chunks(spark, d)), _people(spark, d))
     return search.people_first(h, named).select("query_id", "chunk_id", "grade", F.round("rank_score", 6).alias("score"))
 
 
-@query()
+@query(f"with {_CORPUS}, more as (select query_id, bm.chunk_id, source_id, chunk_index, text, asker.heading as query, rank from bm join docs using (chunk_id) join (select chunk_id as query_id, heading from chunks) asker using (query_id)), {_CONTINUED} select query_id, chunk_id, cast(pos as int) as pos, paired from placed")
 def continuations(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
     hits = search.bm25(_questions(c), c, 12).join(_questions(c), "query_id").join(c, "chunk_id")
