@@ -213,8 +213,8 @@ _NAMED = f"""
     qw as (select query_id, list_distinct({_WORDS.format('query')}) as qs, regexp_matches(query, '{search.ADDRESSED.replace("'", "''")}') as addressed from questions),
     whole as (select query_id, name from qw, pw where list_has_all(qs, ws)),
     rare as (select ws[1] as w, name from pw where ws[1] in (select ws[1] from pw group by 1 having count(*) <= 3)),
-    some as (select query_id, w, name from qw join rare on list_contains(qs, w) where addressed and query_id not in (select query_id from whole)),
-    named as (select query_id, name from whole union all select distinct query_id, name from some join (select query_id, min(w) as w from some group by query_id) using (query_id, w))
+    bynick as (select query_id, w, name from qw join rare on list_contains(qs, w) where addressed and query_id not in (select query_id from whole)),
+    named as (select query_id, name from whole union all select distinct query_id, name from bynick join (select query_id, min(w) as w from bynick group by query_id) using (query_id, w))
 """
 _URGENT = guard._any(guard.Rules().urgent)
 _AFTER = "(select source_id, chunk_index - 1 as i, min(chunk_id) as next_id from chunks group by all)"
