@@ -173,40 +173,39 @@ def _reveal(root: Node) -> None:
 
 
 def _render(root: Node) -> str:
+    """The text of an element, blocks on lines of their own; by a stack, however deep elements are nested."""
     out: list[str] = []
-
-    def go(n) -> None:
+    stack: list[tuple[object, bool]] = [(root, False)]  # (element or text, whether it is ready as it stands)
+    while stack:
+        n, ready = stack.pop()
         if isinstance(n, str):
-            out.append(re.sub(r"\s+", " ", n))
-            return
+            out.append(n if ready else re.sub(r"\s+", " ", n))
+            continue
         name = n.name
         if name in DROPPED or n is not root and name not in ("html", "body", "main") and _around(n):
-            return
+            continue
         if name == "table":
             out.append("\n" + "\n".join(table_lines(n)) + "\n")
-            return
+            continue
         heads = [k for k in n.kids if isinstance(k, Node)]
         loose = any(isinstance(k, str) and k.strip() for k in n.kids)
         if name in ("div", "li", "section", "article") and len(heads) >= 2 and not loose and all(re.fullmatch("h[1-6]", k.name) for k in heads):
             card = " — ".join(filter(None, (k.text() for k in heads)))
             if card and len(card) <= 200:
                 out.append(f"\n{card}\n")
-                return
+                continue
         if re.fullmatch("h[1-6]", name) or PANEL_TITLE.search(n.attrs.get("class", "")):
             t = n.text()
             out.append(f"\n\n{'#' * int(name[1]) if re.fullmatch('h[1-6]', name) else '####'} {t}\n" if t else "")
-            return
+            continue
         if name == "img":
             alt = n.attrs.get("alt", "").strip()
             out.append(f" {alt} " if len(alt) > 25 else "")
-            return
+            continue
         edge = "\n" if name in BLOCKS else " " if name in SPACED else ""
         out.append(edge + ("- " if name == "li" else ""))
-        for k in n.kids:
-            go(k)
-        out.append(edge)
-
-    go(root)
+        stack.append((edge, True))
+        stack += [(k, False) for k in reversed(n.kids)]
     return "".join(out)
 
 

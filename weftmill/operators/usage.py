@@ -38,19 +38,20 @@ def allowed_requests(requests: DataFrame, key: str = "key", at: str = "ts", orde
     """(key, id, decision): allow, day or minute for each request in order of time, then id.
 
     Only allowed requests count. A request is refused for the day if ``per_day`` were allowed in the 24 hours before it,
-    then for the minute. A limit of 0 is none. A key's requests are walked in order by one task in batches of any size;
-    what is kept of a key is at most ``per_day`` times (its allowed requests of a day), however many requests it has.
+    then for the minute. A limit of 0 is none. A key's requests are cut where 24 hours pass without any, after which all is
+    forgotten, and each stretch is walked in order by one task, in batches of any size; what is kept of it is at most
+    ``per_day`` times (its allowed requests of a day), however many requests it has.
     """
     sorted_ = requests.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(order).cast("long").alias("id")).filter("key is not null and us is not null")
-    sorted_ = sorted_.repartition("key").sortWithinPartitions("key", "us", "id")
+    sorted_ = _stretched(sorted_, 86_400_000_000).repartition("key", "stretch").sortWithinPartitions("key", "stretch", "us", "id")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, seen = None, []
         for pdf in batches:
             out = []
-            for k, us in zip(pdf["key"], pdf["us"]):
-                if k != now:
-                    now, seen = k, []
+            for k, part, us in zip(pdf["key"], pdf["stretch"], pdf["us"]):
+                if (k, part) != now:
+                    now, seen = (k, part), []
                 seen = [t for t in seen if us - t < 86_400_000_000] if seen and us - seen[0] >= 86_400_000_000 else seen
                 if per_day and len(seen) >= per_day:
                     out.append("day")
@@ -66,6 +67,19 @@ def allowed_requests(requests: DataFrame, key: str = "key", at: str = "ts", orde
     return sorted_.mapInPandas(walk, "key string, id long, decision string")
 
 
+def _stretched(rows: DataFrame, gap: int) -> DataFrame:
+    """``rows`` (key, us) with ``stretch``, a number that grows wherever at least ``gap`` microseconds pass without a row of the key.
+
+    Rows are first counted by key and slot of that length; slots, few for a key, tell where a gap may lie, so that no task
+    orders all rows of a key.
+    """
+    slots = rows.groupBy("key", F.floor(F.col("us") / gap).alias("slot")).agg(F.min("us").alias("a"), F.max("us").alias("b"))
+    w = Window.partitionBy("key").orderBy("slot")
+    new = F.when(F.col("a") - F.lag("b").over(w) < gap, 0).otherwise(1)
+    slots = slots.withColumn("new", new).withColumn("stretch", F.sum("new").over(w)).select("key", "slot", "stretch")
+    return rows.withColumn("slot", F.floor(F.col("us") / gap)).join(slots, ["key", "slot"]).drop("slot")
+
+
 def lockouts(attempts: DataFrame, key: str = "key", at: str = "ts", order: str = "id", ok: str = "ok") -> DataFrame:
     """(key, id, state) of each attempt: ok, failed, locks (the fifth failure in a row) or locked (within 15 minutes of that)."""
     sorted_ = attempts.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(order).cast("long").alias("id"), F.coalesce(ok, F.lit(False)).alias("ok")).filter("key is not null and us is not null")
@@ -111,10 +125,50 @@ def sessions(events: DataFrame, key: str = "user_id", at: str = "ts", order: str
     return out.select(key, "session", F.timestamp_micros("a").cast("timestamp_ntz").alias("started"), F.timestamp_micros("b").cast("timestamp_ntz").alias("ended"), "n")
 
 
-def recent_failures(attempts: DataFrame, key: str, at: str, seconds: int = 900) -> DataFrame:
-    """Each attempt with the number of its key's attempts in the time before it, itself included: less than ``seconds`` ago."""
+def login_sessions(events: DataFrame, key: str = "user_id", at: str = "ts", order: str = "event_id", idle_minutes: int = IDLE_MINUTES, most_minutes: int = SESSION_MINUTES) -> DataFrame:
+    """(key, session, started, ended, n): as ``sessions``, but a session also ends ``most_minutes`` after it began; the next event begins another.
+
+    A run of events is cut where the event lies at least ``most_minutes`` after its session's start. Runs are walked each by
+    itself, so what one task holds is one run without a gap, and of it only the start of its last session.
+    """
+    gap, most = idle_minutes * 60_000_000, most_minutes * 60_000_000
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    return attempts.withColumn("_us", us).withColumn("recent", F.count("*").over(Window.partitionBy(key).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0))).drop("_us")
+    kind = dict(events.dtypes)[key]
+    runs = sessions(events, key, at, order, idle_minutes).select(F.col(key).alias("_k"), F.col("session").alias("run"), F.unix_micros(F.col("started").cast("timestamp")).alias("a"), F.unix_micros(F.col("ended").cast("timestamp")).alias("b"))
+    d = events.select(F.col(key).alias("_k"), us.alias("us"), F.col(order).alias("o")).filter("_k is not null and us is not null")
+    # only runs longer than a session can be are walked
+    long_ = runs.filter(F.col("b") - F.col("a") >= most)
+    inside = d.join(long_, (d["_k"] == long_["_k"]) & d["us"].between(F.col("a"), F.col("b"))).select(d["_k"], "run", "us", "o").repartition("_k", "run").sortWithinPartitions("_k", "run", "us", "o")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, start = None, 0
+        for pdf in batches:
+            starts = []
+            for k, run, t in zip(pdf["_k"], pdf["run"], pdf["us"]):
+                if (k, run) != now:
+                    now, start = (k, run), t
+                elif t - start >= most:
+                    start = t
+                starts.append(start)
+            yield pd.DataFrame({"_k": pdf["_k"], "s": starts, "us": pdf["us"]})
+
+    cut = inside.mapInPandas(walk, f"_k {kind}, s long, us long").groupBy("_k", "s").agg(F.max("us").alias("b"), F.count("*").alias("n")).select("_k", F.col("s").alias("a"), "b", "n")
+    whole = sessions(events, key, at, order, idle_minutes).select(F.col(key).alias("_k"), F.unix_micros(F.col("started").cast("timestamp")).alias("a"), F.unix_micros(F.col("ended").cast("timestamp")).alias("b"), "n").filter(F.col("b") - F.col("a") < most)
+    both = whole.unionByName(cut).withColumn("session", F.row_number().over(Window.partitionBy("_k").orderBy("a")))
+    return both.select(F.col("_k").alias(key), F.col("session").cast("long").alias("session"), F.timestamp_micros("a").cast("timestamp_ntz").alias("started"), F.timestamp_micros("b").cast("timestamp_ntz").alias("ended"), "n")
+
+
+def recent_failures(attempts: DataFrame, key: str, at: str, seconds: int = 900) -> DataFrame:
+    """Each attempt with the number of its key's attempts in the time before it, itself included: less than ``seconds`` ago.
+
+    Keys are cut into slots of that time; an attempt is counted in its own slot and lent to the next, so that no task orders
+    all attempts of a key.
+    """
+    span = seconds * 1_000_000
+    d = attempts.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_s", F.floor(F.col("_us") / span))
+    both = d.withColumn("_own", F.lit(True)).unionByName(d.withColumn("_own", F.lit(False)).withColumn("_s", F.col("_s") + 1))
+    w = Window.partitionBy(key, "_s").orderBy("_us").rangeBetween(-(span - 1), 0)
+    return both.withColumn("recent", F.count("*").over(w)).filter("_own").drop("_us", "_s", "_own")
 
 
 def retained(rows: DataFrame, at: str, now: Column, days: int = KEPT_DAYS) -> DataFrame:

@@ -38,14 +38,17 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sources").filter("url is not null").select("source_id", U.host(u).alias("host"), U.extension(u).alias("ext"), U.upload_year(u).alias("upload_year"), U.kind(u).alias("kind"))
 
 
+_KEPT = "array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(regexp_extract(p, '^([^=]*)', 1), '" + U.TRACKING + "')), '&')"
+
+
 @query(f"""
-    with l as (select page_id, unnest(links).url as url from extracted_pages)
-    select page_id, url, 'https://' || {_HOST.format('url')} || regexp_replace(case when {_PATH.format('url')} = '' then '/' else {_PATH.format('url')} end, '/{{2,}}', '/', 'g') as normal
-    from l where url like 'https://%' and url not like '%?%'
+    with l as (select page_id, url as whole, trim(url) as url from (select page_id, unnest(links).url as url from extracted_pages)),
+      p as (select page_id, whole, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, {_HOST.format('url')} as host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/:?#]*:([0-9]*)', 1) as port, regexp_replace({_PATH.format('url')}, '/{{2,}}', '/', 'g') as path, {_KEPT} as kept from l)
+    select page_id, whole as url, case when scheme in ('http', 'https') and host <> '' then scheme || '://' || host || case when port in ('', '80', '443') then '' else ':' || port end || case when path = '' then '/' else path end || case when kept = '' then '' else '?' || kept end end as normal from p
 """)
 def url_normalized(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "extracted_pages").select("page_id", F.explode("links").alias("l")).select("page_id", "l.url")
-    return links.filter("url like 'https://%' and url not like '%?%'").select("page_id", "url", U.normal_absolute(F.col("url")).alias("normal"))
+    return links.select("page_id", "url", U.normal_absolute(F.col("url")).alias("normal"))
 
 
 @query()
@@ -73,17 +76,20 @@ def link_labels(spark: SparkSession, d: str) -> DataFrame:
     return l.filter("l.url is not null").groupBy(F.col("l.url").alias("url")).agg(F.count("*").alias("times"), first.alias("label"))
 
 
-def _in(a: str, b: str) -> str:
-    return f"length(substr(text, 1, 5000)) - length(regexp_replace(substr(text, 1, 5000), '[{a}-{b}]', '', 'g'))"
+def _of(text: str, a: int, b: int) -> str:
+    return f"length({text}) - length(regexp_replace({text}, '[{chr(a)}-{chr(b)}]', '', 'g'))"
+
+
+def _script(text: str) -> str:
+    """(number of letters, precedence, language) of the script with most letters."""
+    return "list_max([" + ", ".join(f"{{'n': {_of(text, a, b)}, 'at': {-i}, 'lang': '{lang}'}}" for i, (lang, (a, b)) in enumerate(T.SCRIPTS.items())) + "])"
 
 
 @query(f"""
-    with c as (select doc_id, {_in('઀', '૿')} as gu, {_in('ऀ', 'ॿ')} as hi, length(substr(text, 1, 5000)) - length(regexp_replace(substr(text, 1, 5000), '[A-Za-z]', '', 'g')) as latin,
-      {_in('଀', '୿')} + {_in('ঀ', '৿')} + {_in('؀', 'ۿ')} + {_in('஀', '௿')} as other, text from documents where text is not null)
-    select doc_id, case when gu = 0 and hi = 0 then 'en' when gu >= hi and gu >= latin * 0.3 then 'gu' when hi > gu and hi >= latin * 0.3 then 'hi' else 'en' end as script from c where other = 0
+    with h as (select doc_id, substr(text, 1, 5000) as t from documents where text is not null), c as (select doc_id, {_script('t')} as top, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) as latin from h)
+    select doc_id, case when top.n > 0 and top.n >= latin * 0.3 then top.lang else 'en' end as script from c
 """)
 def script_language(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with a text; the SQL leaves out those with Odia, Bengali, Arabic or Tamil characters and so differs on them."""
     return table(spark, d, "documents").filter("text is not null").select("doc_id", T.script_language(F.col("text")).alias("script"))
 
 
@@ -154,11 +160,18 @@ def modal_footer(spark: SparkSession, d: str) -> DataFrame:
     return clean.modal_value(table(spark, d, "extracted_pages"), "footer", "page_id")
 
 
-@query()
+@query(f"""
+    with {_FORMS}, f as (select site, arg_max(footer, (n, footer)) as footer from (select site, footer, count(*) as n from extracted_pages where footer is not null group by all) group by site),
+      c as (select site, string_agg(form, chr(10) order by form) as common from bad group by site), r as (select f.site, common, list_filter(string_split(footer, chr(10)), lambda x: trim(x, ' ') <> '') as rows from f left join c on c.site is not distinct from f.site)
+    select site, concat_ws(chr(10) || chr(10), case when len(list_filter(rows, lambda x: contains(x, ' — '))) > 0 then '## Leadership' || chr(10) || chr(10) || array_to_string(list_transform(list_filter(rows, lambda x: contains(x, ' — ')), lambda x: regexp_replace(x, '^(.*?) — (.*)$', '\\2: \\1')), chr(10)) end,
+      case when len(list_filter(rows, lambda x: not contains(x, ' — '))) > 0 then '## Address and contact' || chr(10) || chr(10) || array_to_string(list_filter(rows, lambda x: not contains(x, ' — ')), chr(10)) end, case when coalesce(common, '') <> '' then '## Shown across the site' || chr(10) || chr(10) || common end) as information from r
+""")
 def site_information(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "extracted_pages").filter("footer is not null")
-    common = pages.groupBy("site", "footer").count().groupBy("site").agg(F.max(F.struct("count", "footer")).alias("x"))
-    return common.select("site", clean.site_information(F.col("x.footer"), F.lit(None).cast("string")).alias("information"))
+    """Each site's most frequent footer and its repeated lines."""
+    pages = table(spark, d, "extracted_pages")
+    footers = pages.filter("footer is not null").groupBy("site", "footer").count().groupBy("site").agg(F.max(F.struct("count", "footer")).alias("x"))
+    lines = _bad(spark, d).groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("form")), "\n").alias("common"))
+    return footers.join(lines, "site", "left").select("site", clean.site_information(F.col("x.footer"), F.col("common")).alias("information"))
 
 
 @query("""
@@ -171,27 +184,43 @@ def junk_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAME = "regexp_extract({0}, '([^/]*)$', 1)"
-_SERIES = f"""
-    named as (select source_id, url, academic_year, {_NAME.format('url')} as name from sources where content_type <> 'html'),
-    keyed as (select *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '\\.(pdf|docx?)$', ''), '(19|20)\\d{{2}}(\\s*[-–_]\\s*(19|20)?\\d{{2}})?|\\b\\d{{2}}\\s*[-–_]\\s*\\d{{2}}\\b', ' ', 'g'), '[^a-z]+', ' ', 'g'),
-      '\\b(final|new|updated|revised|latest|compressed|copy|only|printed|pages|st|college|of|the|and|for|ay|a\\s?y|pdf|v\\d|\\d+)\\b', ' ', 'g'), ' +', ' ', 'g')) as k from named),
+#: Editions, as the tables have none: (source_id, url, academic_year).
+EDITIONS = [
+    (-1, "https://a.example/f/Student-Handbook-2023-24.pdf", None), (-2, "https://a.example/f/student_handbook_2024-25_final.pdf", None), (-3, "https://a.example/f/student-handbok-2022-23.pdf", None), (-4, "https://a.example/f/Fee-Structures-24-25.pdf", None),
+    (-5, "https://a.example/f/fee-structure-2025-26.pdf", None), (-6, "https://a.example/f/Annual-Report-2020.pdf", None), (-7, "https://a.example/f/academic-calendar.pdf", "2021-22"), (-8, "https://a.example/f/Academic%20Calendar%202023.pdf", None),
+    (-9, "https://a.example/f/prospectus.pdf", None), (-10, "https://a.example/f/anti-ragging-policy-2019.docx", None), (-11, "https://a.example/f/xanti-ragging-policyx-2021.docx", None), (-12, None, "2021-22"),
+]
+_EDITIONS = "editions as (select source_id, url, academic_year from sources where content_type <> 'html' union all select * from (values " + ", ".join(f"({i}, " + ", ".join("null" if x is None else f"'{x}'" for x in r) + ")" for i, *r in EDITIONS) + ") t(source_id, url, academic_year))"
+_NAMES = f"""
+    {_EDITIONS}, named as (select source_id, url, academic_year, coalesce(url_decode({_NAME.format("regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)")}), '') as name from editions),
+"""
+
+
+_SERIES = _NAMES + r"""
+    keyed as (select *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '\.(pdf|docx?)$', ''), '(19|20)\d{2}(\s*[-–_]\s*(19|20)?\d{2})?|\b\d{2}\s*[-–_]\s*\d{2}\b', ' ', 'g'), '[^a-z]+', ' ', 'g'),
+      '\b(final|new|updated|revised|latest|compressed|copy|only|printed|pages|st|college|of|the|and|for|ay|a\s?y|pdf|v\d|\d+)\b', ' ', 'g'), ' +', ' ', 'g')) as k from named),
     series as (select source_id, case when regexp_matches(k, 'handbook|prospectus|calendar|fees structure|fee structure|brochure|information bulletin|policy')
         then array_to_string(list_transform(string_split(k, ' '), lambda w: case when length(w) > 4 and w like '%s' and w not like '%us' then left(w, -1) else w end), ' ') end as series,
-      coalesce(try_cast(nullif(regexp_extract(name, '(20\\d{{2}})\\s*[-–_]\\s*(?:20)?\\d{{2}}(?:\\D|$)', 1), '') as int),
-        case when try_cast(nullif(regexp_extract(name, '(?:^|\\D)(\\d{{2}})\\s*[-–_]\\s*(\\d{{2}})(?:\\D|$)', 2), '') as int) = try_cast(nullif(regexp_extract(name, '(?:^|\\D)(\\d{{2}})\\s*[-–_]\\s*(\\d{{2}})(?:\\D|$)', 1), '') as int) + 1
-          then 2000 + try_cast(regexp_extract(name, '(?:^|\\D)(\\d{{2}})\\s*[-–_]\\s*(\\d{{2}})(?:\\D|$)', 1) as int) end,
-        try_cast(nullif(regexp_extract(name, '(?:^|\\D)(20\\d{{2}})(?:\\D|$)', 1), '') as int), try_cast(nullif(regexp_extract(academic_year, '^(\\d{{4}})', 1), '') as int)) as year from keyed)
+      coalesce(try_cast(nullif(regexp_extract(name, '(20\d{2})\s*[-–_]\s*(?:20)?\d{2}(?:\D|$)', 1), '') as int),
+        case when try_cast(nullif(regexp_extract(name, '(?:^|\D)(\d{2})\s*[-–_]\s*(\d{2})(?:\D|$)', 2), '') as int) = try_cast(nullif(regexp_extract(name, '(?:^|\D)(\d{2})\s*[-–_]\s*(\d{2})(?:\D|$)', 1), '') as int) + 1
+          then 2000 + try_cast(regexp_extract(name, '(?:^|\D)(\d{2})\s*[-–_]\s*(\d{2})(?:\D|$)', 1) as int) end,
+        try_cast(nullif(regexp_extract(name, '(?:^|\D)(20\d{2})(?:\D|$)', 1), '') as int), try_cast(nullif(regexp_extract(academic_year, '^(\d{4})', 1), '') as int)) as year from keyed)
 """
 
 
+def _editions(spark: SparkSession, d: str) -> DataFrame:
+    stored = table(spark, d, "sources").filter("content_type <> 'html'").select("source_id", "url", "academic_year")
+    return stored.unionByName(spark.createDataFrame(EDITIONS, "source_id long, url string, academic_year string"))
+
+
 @query(f"with {_SERIES}, s as (select * from series where series is not null and year is not null), m as (select series, max(year) as newest from s group by series) select source_id, series, year, newest from s join m using (series) where year < newest")
 def superseded_editions(spark: SparkSession, d: str) -> DataFrame:
-    return clean.superseded(table(spark, d, "sources").filter("content_type <> 'html'"), "source_id")
+    return clean.superseded(_editions(spark, d), "source_id")
 
 
 @query()
 def superseded_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    return clean.superseded(table(spark, d, "sources").filter("content_type <> 'html'"), "source_id", fuzzy=True)
+    return clean.superseded(_editions(spark, d), "source_id", fuzzy=True)
 
 
 @query("""
@@ -280,7 +309,13 @@ def current_state(spark: SparkSession, d: str) -> DataFrame:
     return crawl.current_state(log, "source_id", "run_id", "seed_id", "title").select("source_id", "run_id", "title")
 
 
-@query()
+@query(f"""
+    with a as (select url, max(remote_modified) as rm from seeds where run_id = 10 and url is not null group by url), b as (select url, max(remote_modified) as rm, any_value(s.index_status) as st from seeds join (select url, index_status from sources) s using (url) where run_id = 9 group by url),
+      k as (select a.url, a.rm, b.rm as old, b.st, b.url is not null as known, {_HOST.format('a.url')} as host, regexp_extract(lower({_PATH.format('a.url')}), '\\.([a-z0-9]{{2,5}})$', 1) as ext, {_PATH.format('a.url')} as path, regexp_extract(a.url, '^[^?#]*\\?([^#]*)', 1) as q from a left join b using (url)),
+      t as (select *, case when ext in ('pdf', 'docx', 'txt', 'jpg', 'jpeg', 'png') then 'file' when ext in ({', '.join(f"'{x}'" for x in U.SKIPPED)}) or regexp_matches(path, '{U.SKIPPED_PATHS}') or regexp_matches(q, '{U.SKIPPED_QUERIES}') then null else 'html' end as kind from k),
+      hosts as (select unnest([site, 'www.' || site]) as host from (select distinct site from sources where site is not null))
+    select url, case when kind is null then 'skip_kind' when host not in (select host from hosts) or host = 'ads.example' or host like '%.ads.example' then 'skip_domain' when st = 'blocked' then 'skip_blocked' when known and rm is not null and rm = old then 'skip_unchanged' when known and kind <> 'html' then 'conditional' else 'fetch' end as action from t
+""")
 def fetch_plan(spark: SparkSession, d: str) -> DataFrame:
     """The last run's listings, planned against those of the run before; every site of sources is allowed."""
     seeds = table(spark, d, "seeds").filter("run_id = 10 and url is not null").groupBy("url").agg(F.max("remote_modified").alias("remote_modified"))
@@ -288,7 +323,18 @@ def fetch_plan(spark: SparkSession, d: str) -> DataFrame:
     return crawl.fetch_plan(seeds, stored, table(spark, d, "sources").select("site").distinct(), ["ads.example"])
 
 
-@query()
+_PLAIN = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+_LAST = "regexp_extract(regexp_replace({0}, '/+$', ''), '([^/]*)$', 1)".format(_PATH.format("url"))
+_BARE = "trim(regexp_replace(regexp_replace(coalesce(url_decode(" + _LAST + "), ''), '\\.[A-Za-z0-9]{2,5}$', ''), '[-_\\s]+', ' ', 'g'), ' ')"
+_TITLE = "trim(regexp_replace(trim(regexp_replace(trim(coalesce({0}, ''), ' '), '(?i)^Microsoft (Word|Excel|PowerPoint)\\s*-\\s*', ''), ' '), '(?i)\\.(docx?|xlsx?|pptx?|pdf)$', ''), ' ')"
+_GOOD = "case when length({0}) >= 6 and not regexp_matches({0}, '" + M.GENERIC_TITLES + "') and regexp_replace(lower({0}), '[^a-z0-9]', '', 'g') <> regexp_replace(lower(name), '[^a-z0-9]', '', 'g') and not regexp_matches({0}, '(?i)^(untitled|document[0-9]*)\\b') then substr({0}, 1, 300) end"
+
+
+@query(f"""
+    with e as (select file_id, e.url, s.title as listed, e.title from extracted_docs e left join sources s using (source_id)), f as (select *, {_BARE} as bare from e),
+      n as (select *, array_to_string(list_transform(string_split(bare, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') as name, {_TITLE.format('listed')} as a, {_TITLE.format('title')} as b from f)
+    select file_id, coalesce({_GOOD.format('a')}, {_GOOD.format('b')}, name) as title from n
+""")
 def document_titles(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "extracted_docs").join(table(spark, d, "sources").select("source_id", F.col("title").alias("listed")), "source_id", "left")
     return files.select("file_id", M.document_title(F.col("url"), F.col("listed"), F.col("title")).alias("title"))
@@ -311,13 +357,25 @@ def chunk_headers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_pages").select("page_id", M.chunk_header(F.col("section"), F.col("title")).alias("header"))
 
 
-@query()
+_LINKED = "trim(regexp_replace(regexp_replace(coalesce(title, ''), '(?i)\\b(click here( to)?|view|download|read more)\\b', '', 'g'), '\\s+', ' ', 'g'), ' ')"
+
+
+@query(f"""
+    with t as (select source_id, {_LINKED} as t, trim(string_split(coalesce(section, ''), '›')[-1], ' ') as part, coalesce(academic_year, '') as year, url, content_type from sources),
+      u as (select *, upper(substr(t, 1, 1)) || substr(t, 2) as t1 from t), v as (select *, case when t1 <> '' and regexp_replace(t1, '(?i)academic|year|[0-9\\s–—/-]', '', 'g') = '' and part <> '' then trim(part || ' ' || case when year <> '' then year else t1 end, ' ') else t1 end as t2 from u),
+      w as (select *, case when t2 <> '' and year <> '' and not regexp_matches(t2, '(19|20)[0-9]{{2}}') then t2 || ' ' || year else t2 end as t3 from v)
+    select source_id, case when content_type = 'html' and t3 <> '' then t3 || ' page, ' || {_HOST.format('url')} else t3 end as label from w
+""")
 def source_labels(spark: SparkSession, d: str) -> DataFrame:
     c = [F.col(x) for x in ("title", "section", "academic_year", "url", "content_type")]
     return table(spark, d, "sources").select("source_id", M.source_label(*c).alias("label"))
 
 
-@query()
+@query(f"""
+    with c as (select doc_id, lang, text, {_script("coalesce(text, '')")} as top, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '\\pL', '', 'g')) as letters from documents),
+      y as (select *, case when letters = 0 or top.n < greatest(2, letters * 0.3) then 'en' when top.lang = 'hi' and lang = 'mr' then 'mr' else top.lang end as typed from c)
+    select doc_id, case when typed <> 'en' then typed else coalesce(lang, 'en') end as language from y
+""")
 def typed_languages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", M.answer_language(F.col("lang"), F.col("text")).alias("language"))
 

@@ -82,12 +82,12 @@ def source_search_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    select source_id from sources where content_type in ('pdf', 'docx') and index_status not in ('excluded', 'duplicate') and (last_seen_run_id is null or last_seen_run_id <> 10) and url like 'https://www.%' and not url like '%/wp-content/%'
+    select source_id from sources where content_type in ('pdf', 'docx', 'html') and index_status not in ('excluded', 'duplicate') and (last_seen_run_id is null or last_seen_run_id <> 10) and url like 'https://www.%' and not url like '%/wp-content/%'
     union all select source_id from sources where index_status is null
 """)
 def predicates(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sources")
-    a = s.filter(F.col("content_type").isin("pdf", "docx") & ~F.col("index_status").isin("excluded", "duplicate") & (F.col("last_seen_run_id").isNull() | (F.col("last_seen_run_id") != 10)) & F.col("url").startswith("https://www.") & ~F.col("url").contains("/wp-content/"))
+    a = s.filter(F.col("content_type").isin("pdf", "docx", "html") & ~F.col("index_status").isin("excluded", "duplicate") & (F.col("last_seen_run_id").isNull() | (F.col("last_seen_run_id") != 10)) & F.col("url").startswith("https://www.") & ~F.col("url").contains("/wp-content/"))
     return a.select("source_id").unionByName(s.filter("index_status is null").select("source_id"))
 
 
@@ -139,6 +139,17 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return usage.sessions(table(spark, d, "events"))
 
 
+@query("""
+    with recursive e as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events where user_id is not null and ts is not null),
+      w(user_id, us, n, session, start, last) as (select user_id, us, n, 1, us, us from e where n = 1
+        union all select e.user_id, e.us, e.n, case when e.us - last > 7200000000 or e.us - start >= 14400000000 then session + 1 else session end, case when e.us - last > 7200000000 or e.us - start >= 14400000000 then e.us else start end, e.us from w join e on e.user_id = w.user_id and e.n = w.n + 1)
+    select user_id, cast(session as bigint) as session, make_timestamp(min(us)) as started, make_timestamp(max(us)) as ended, count(*) as n from w group by user_id, session
+""")
+def login_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that end after two idle hours, and after four hours at the latest."""
+    return usage.login_sessions(table(spark, d, "events"), idle_minutes=120, most_minutes=240)
+
+
 @query("""
     select event_id, count(*) over (partition by user_id order by ts range between interval 899999999 microsecond preceding and current row) as recent from events where event_type = 'error'
 """)
@@ -147,13 +158,25 @@ def recent_failures(spark: SparkSession, d: str) -> DataFrame:
     return usage.recent_failures(e, "user_id", "ts").select("event_id", "recent")
 
 
-@query()
+@query("""
+    with recursive e as (select cast(user_id as varchar) as key, event_id as id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events where user_id is not null and ts is not null),
+      w(key, id, us, n, seen, decision) as (select key, id, us, n, [us], 'allow' from e where n = 1
+        union all select e.key, e.id, e.us, e.n, case when len(list_filter(seen, lambda t: e.us - t < 86400000000)) < 3 and len(list_filter(seen, lambda t: e.us - t < 60000000)) < 1 then list_append(seen, e.us) else seen end,
+          case when len(list_filter(seen, lambda t: e.us - t < 86400000000)) >= 3 then 'day' when len(list_filter(seen, lambda t: e.us - t < 60000000)) >= 1 then 'minute' else 'allow' end from w join e on e.key = w.key and e.n = w.n + 1)
+    select key, id, decision from w
+""")
 def rate_limit_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Requests of each kind against small limits, in order."""
-    return usage.allowed_requests(table(spark, d, "events"), "event_type", "ts", "event_id", per_minute=2, per_day=100)
+    """Each user's requests against small limits, in order."""
+    return usage.allowed_requests(table(spark, d, "events"), "user_id", "ts", "event_id", per_minute=1, per_day=3)
 
 
-@query()
+@query("""
+    with recursive e as (select cast(user_id as varchar) as key, event_id as id, epoch_us(ts) as us, coalesce(event_type <> 'error', false) as ok, row_number() over (partition by user_id order by ts, event_id) as n from events where user_id is not null and ts is not null),
+      w(key, id, n, fails, until, state) as (select key, id, n, case when ok then 0 else 1 end, 0::bigint, case when ok then 'ok' else 'failed' end from e where n = 1
+        union all select e.key, e.id, e.n, case when e.us < until then fails when ok or fails >= 4 then 0 else fails + 1 end, case when e.us >= until and not ok and fails >= 4 then e.us + 900000000 else until end,
+          case when e.us < until then 'locked' when ok then 'ok' when fails >= 4 then 'locks' else 'failed' end from w join e on e.key = w.key and e.n = w.n + 1)
+    select key, id, state from w
+""")
 def lockout_states(spark: SparkSession, d: str) -> DataFrame:
     """The state of each user's attempts, an error event being a failure."""
     e = table(spark, d, "events").withColumn("ok", F.col("event_type") != "error")

@@ -310,7 +310,18 @@ def previous_question(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", "heading", F.lag("heading").over(Window.partitionBy("source_id").orderBy("chunk_index", "chunk_id")).alias("prev"))
 
 
-@query()
+_TURN = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+_IN = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+@query(f"""
+    with t as (select chunk_id, trim(heading, ' ') as q, lag(trim(heading, ' ')) over (partition by source_id order by chunk_index, chunk_id) as prev from chunks where heading is not null),
+      w as (select *, {_TURN.format('q')} as ws, {_TURN.format("coalesce(prev, '')")} as ps from t),
+      x as (select *, list_filter(ws, lambda w: w not in ({_IN(guard.EMPTY_WORDS)}) and w not in ({_IN(guard.TOPICS)})) as subject,
+        array_to_string(list_concat(list_filter([{_IN(guard.TOPICS)}], lambda w: list_contains(ps, w) and not list_contains(ws, w)), list_filter(regexp_extract_all(coalesce(prev, ''), '\\b20[0-9]{{2}}\\s*[-–]\\s*[0-9]{{2,4}}\\b'), lambda y: not contains(q, y))), ' ') as borrowed from w)
+    select chunk_id, case when coalesce(prev, '') = '' then q when regexp_matches(q, '{guard.PRONOUNS.replace("'", "''")}') or len(subject) = 0 then prev || ' ' || q when len(list_filter(subject, lambda w: w in ({_IN(guard.STANDALONE)}))) > 0 then q
+      when (regexp_matches(q, '{guard.OPENER}') or len(ws) <= 3) and borrowed <> '' then q || ' ' || borrowed else q end as search from x
+""")
 def contextualized(spark: SparkSession, d: str) -> DataFrame:
     """Headings of a source as the turns of a conversation."""
     c = table(spark, d, "chunks").filter("heading is not null").withColumn("turn", F.struct("chunk_index", "chunk_id"))
@@ -340,13 +351,28 @@ def no_information(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", facts.says_nothing(F.col("text")).alias("nothing"))
 
 
-@query()
+_ADDRESS = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|https?://[^\s<>\"'')\]]+"
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_DIGITS = f"translate({{0}}, '{facts.NATIVE_DIGITS}', '{'0123456789' * (len(facts.NATIVE_DIGITS) // 10)}')"
+
+
+@query(f"""
+    with s as (select chunk_id, coalesce(text, '') as s, coalesce(heading, '') as t from chunks),
+      i as (select *, list_transform(regexp_extract_all(s, '{_ADDRESS}'), lambda x: regexp_replace(x, '[.,;:]+$', '')) as links, list_transform(regexp_extract_all(regexp_replace({_DIGITS.format('s')}, '{_ADDRESS}', ' ', 'g'), '[0-9][0-9,.]*[0-9]|[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) as numbers,
+        regexp_replace({_DIGITS.format('t')}, '[^0-9]', '', 'g') as run from s)
+    select chunk_id, array_to_string(list_concat(list_filter({_ONCE.format('links')}, lambda x: not contains(t, x)), list_filter({_ONCE.format('numbers')}, lambda x: not contains(run, x))), '|') as missing from i
+""")
 def translation_gaps(spark: SparkSession, d: str) -> DataFrame:
     """What of a chunk's addresses and digits its heading lacks."""
-    return table(spark, d, "chunks").select("chunk_id", facts.missing_items(F.col("text"), F.col("heading")).alias("missing"))
+    return table(spark, d, "chunks").select("chunk_id", F.array_join(facts.missing_items(F.col("text"), F.col("heading")), "|").alias("missing"))
 
 
-@query()
+@query(f"""
+    with {_GRADED}, questions as (select chunk_id as query_id, heading as query from chunks where chunk_id % 100 = 0), {_NAMED}, ns as (select query_id, list(distinct lower(name)) as names from named group by query_id),
+      scored as (select g.query_id, g.chunk_id, grade, round(rrf + 0.0015 * soft + case when content_type = 'html' then 0.001 else 0 end, 9) as score, case when names is null then null when coalesce(heading like 'About %', false) then 1.0
+        when len(list_filter(names, lambda n: contains(lower(text), n) or contains(lower(text), array_to_string(list_reverse(string_split(n, ' ')), ' ')))) > 0 then case when content_type = 'html' then 0.5 else 0.1 end end as bonus from graded g join docs using (chunk_id) left join ns on ns.query_id = g.query_id)
+    select query_id, chunk_id, case when bonus is not null then greatest(grade, 0.5) else grade end as grade, round(coalesce(bonus + grade, score), 6) as score from scored
+""")
 def people_first(spark: SparkSession, d: str) -> DataFrame:
     """Hits with those first that name whom the question's heading names."""
     h = search.graded(_hits(spark, d), False).withColumn("is_profile", F.coalesce(F.col("heading").startswith("About "), F.lit(False)))
@@ -361,7 +387,13 @@ def continuations(spark: SparkSession, d: str) -> DataFrame:
     return search.with_continuations(hits, c, guard.TOPICS)
 
 
-@query()
+_CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z]+'), lambda w: length(w) >= 4 and w not in (" + ", ".join(f"'{w}'" for w in facts.EMPTY_WORDS) + ")))"
+
+
+@query(f"""
+    with {_CORPUS}, h as (select bm.query_id, bm.chunk_id, rank, len(list_intersect({_CONTENT.format('a.text')}, {_CONTENT.format('c.text')})) as shared from bm join docs c on c.chunk_id = bm.chunk_id join docs a on a.chunk_id = bm.query_id where bm.chunk_id <> bm.query_id)
+    select query_id, chunk_id, cast(shared as int) as shared from h where shared > 0 qualify row_number() over (partition by query_id order by shared desc, rank, chunk_id desc) = 1
+""")
 def best_sources(spark: SparkSession, d: str) -> DataFrame:
     """Of each asking chunk's hits other than itself the one that shares most of its words."""
     c = _chunks(spark, d)
@@ -369,6 +401,7 @@ def best_sources(spark: SparkSession, d: str) -> DataFrame:
     return facts.best_source(hits.filter("chunk_id <> query_id"))
 
 
-@query()
+@query(f"with {_GRADED} select query_id, round(min(age) + 365, 2) as age from graded where age is not null group by query_id having min(age) + 365 > 180")
 def stale_answers(spark: SparkSession, d: str) -> DataFrame:
-    return facts.stale_since(_hits(spark, d)).select("query_id", F.round("age", 2).alias("age"))
+    """Questions all of whose dated hits are old, asked a year later."""
+    return facts.stale_since(_hits(spark, d).withColumn("age", F.col("age") + 365)).select("query_id", F.round("age", 2).alias("age"))
