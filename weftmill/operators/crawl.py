@@ -99,3 +99,31 @@ def current_state(log: DataFrame, key: str, order: str, *columns: str) -> DataFr
 def outcome(status: Column, not_modified: Column, error: Column) -> Column:
     """What a fetch means for its source: touch, delete, error, store."""
     return F.when(F.coalesce(not_modified, F.lit(False)) | (status == 304), "touch").when(status.isin(404, 410), "delete").when(error.isNotNull() | (status >= 400) | (status == 0), "error").otherwise("store")
+
+
+def page_context(documents: DataFrame, pages: DataFrame, links: str = "links") -> DataFrame:
+    """(url, section): what the first page that links to a document says of itself, "Section › Title"; "" where none links to it.
+
+    ``pages`` have page_id, section, title and links (url, text); the first is the one of the least id. Only links to
+    documents are shuffled further, and each url's page is found by a partly aggregated minimum.
+    """
+    said = F.concat_ws(" › ", F.nullif(F.trim("section"), F.lit("")), F.nullif(F.trim("title"), F.lit("")))
+    named = pages.select("page_id", said.alias("said"), F.explode(F.col(links)["url"]).alias("url")).filter("url is not null")
+    first = named.join(documents.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min(F.struct("page_id", "said")).alias("x"))
+    return documents.select("url").distinct().join(first, "url", "left").select("url", F.coalesce("x.said", F.lit("")).alias("section"))
+
+
+def cached(requests: DataFrame, cache: DataFrame, key: list[str], value: str) -> DataFrame:
+    """``requests`` with ``value`` from the cache, null where it has none: what is left to be computed, each different request once.
+
+    Of repeated keys in the cache the greatest value counts.
+    """
+    known = cache.groupBy(*key).agg(F.max(value).alias(value))
+    return requests.select(*key).distinct().join(known, key, "left")
+
+
+def outcomes_after_redirect(fetches: DataFrame, allowed: DataFrame, asked: str = "url", final: str = "final_url") -> DataFrame:
+    """``fetches`` with ``off_domain``: whether a redirect has led to a host that is not in ``allowed`` (host)."""
+    hosts = allowed.select(F.col("host").alias("_h"), F.lit(True).alias("_ok")).distinct()
+    d = fetches.withColumn("_h", urls.host(F.coalesce(final, asked))).join(hosts, "_h", "left")
+    return d.withColumn("off_domain", ~F.coalesce("_ok", F.lit(False))).drop("_h", "_ok")

@@ -11,7 +11,9 @@ from weftmill.functions import text as T
 from weftmill.functions import urls as U
 from weftmill.operators import chunk, clean, crawl
 from weftmill.plans.registry import registered
-from weftmill.shared import table
+from weftmill.sources import documents as D
+from weftmill.sources import web as W
+from weftmill.shared import staged, table
 
 _HOST = "lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))"
 _PATH = "regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -388,3 +390,100 @@ def html_pages(spark: SparkSession, d: str) -> DataFrame:
     anchors = F.array_join(F.transform("links", lambda l: F.concat(F.lit('<a href="'), l["url"], F.lit('">'), F.coalesce(l["text"], F.lit("")), F.lit("</a>"))), " ")
     page = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><nav>"), F.coalesce(anchors, F.lit("")), F.lit("</nav><article><p>"), body, F.lit("</article><footer>"), F.coalesce("footer", F.lit("")), F.lit("</footer></body></html>"))
     return p.select("page_id", H.extracted(page, F.col("url")).alias("x")).select("page_id", "x.title", "x.text", F.size("x.links").alias("n_links"))
+
+
+@query("""
+    with f as (select fetch_id, site, run_id, epoch_us(fetched_at) as us from fetch_results where site is not null and fetched_at is not null), n as (select *, row_number() over (partition by site, run_id order by us, fetch_id) * 250000 as n from f)
+    select fetch_id, max(us - n) over (partition by site, run_id order by us, fetch_id rows between unbounded preceding and current row) + n as start from n
+""")
+def host_turns(spark: SparkSession, d: str) -> DataFrame:
+    """When each fetch of a run may begin with a quarter of a second between those of a site."""
+    f = table(spark, d, "fetch_results").filter("site is not null and fetched_at is not null").select("fetch_id", "site", "run_id", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("us"))
+    return W.turns(f, 250_000, "site", "us", "fetch_id", "run_id").select("fetch_id", "start")
+
+
+#: Robots files of two sites, as the tables have none.
+ROBOTS = [
+    ("www.lojobha-college.example", "User-agent: *\nDisallow: /wp-content/uploads/2021/\nAllow: /downloads/\nDisallow: /d # all else\n\nUser-agent: other\nDisallow: /"),
+    ("blog.niolturmo-science.example", "User-agent: weftbot\nUser-agent: another\nDisallow: /wp-content/\n\nUser-agent: *\nDisallow:"),
+]
+
+
+@query(f"""
+    with r(host, n, allow, path) as (values ('{ROBOTS[0][0]}', 1, false, '/wp-content/uploads/2021/'), ('{ROBOTS[0][0]}', 2, true, '/downloads/'), ('{ROBOTS[0][0]}', 3, false, '/d'), ('{ROBOTS[1][0]}', 1, false, '/wp-content/')),
+      u as (select source_id, {_HOST.format('url')} as host, case when {_PATH.format('url')} = '' then '/' else {_PATH.format('url')} end as path from sources)
+    select source_id, coalesce((select arg_min(allow, n) from r where r.host = u.host and starts_with(u.path, r.path)), true) as allowed from u
+""")
+def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
+    rules = W.robots_rules(spark.createDataFrame(ROBOTS, "host string, text string"), "weftbot/1.0")
+    return W.allowed_by_robots(table(spark, d, "sources").select("source_id", "url"), rules).select("source_id", "allowed")
+
+
+#: Addresses of every kind.
+ADDRESSES = ["10.1.2.3", "172.15.0.1", "172.16.0.1", "172.31.255.255", "192.168.0.1", "192.169.0.1", "8.8.8.8", "127.0.0.1", "169.254.1.1", "224.0.0.1", "255.255.255.255", "1.1.1.1", "300.1.1.1", "not an address", "0.0.0.0", "198.18.5.5", "203.0.113.9", "100.64.0.1"]
+
+
+@query("with a(ip) as (values " + ", ".join(f"('{x}')" for x in ADDRESSES) + """), n as (select ip, case when regexp_matches(ip, '^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$') then list_reduce(list_transform(string_split(ip, '.'), lambda x: cast(x as bigint)), lambda s, x: s * 256 + x) end as n from a)
+    select ip, n is not null and not (""" + " or ".join(f"n between {a} and {a + (1 << (32 - bits)) - 1}" for a, bits in ((sum(int(x) << (24 - 8 * i) for i, x in enumerate(base.split("."))), bits) for base, bits in W.PRIVATE_V4)) + ") as public from n")
+def public_addresses(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in ADDRESSES], "ip string").select("ip", W.public_address(F.col("ip")).alias("public"))
+
+
+@query("select file_id, case when len(regexp_extract_all(text, '[\\pL\\pN_]{3,}')) >= 8 then text else '' end as text from extracted_docs where text is not null")
+def recognised_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "extracted_docs").filter("text is not null").select("file_id", D.recognised(F.col("text")).alias("text"))
+
+
+@query("""
+    with g as (select source_id, list([heading, cast(chunk_index as varchar), text] order by chunk_index, chunk_id) as rows from chunks where length(coalesce(text, '')) < 400 group by source_id),
+      c as (select source_id, list_filter(list_transform(list_prepend(['Heading', '', 'Text'], rows), lambda r: list_transform(r, lambda x: trim(replace(coalesce(x, ''), chr(10), ' '), ' '))), lambda r: len(list_filter(r, lambda x: x <> '')) > 0) as t from g)
+    select source_id, array_to_string(list_transform(t[2:], lambda r: array_to_string(list_filter([case when r[1] <> '' then 'Heading: ' || r[1] end, case when r[2] <> '' then r[2] end, case when r[3] <> '' then 'Text: ' || r[3] end], lambda x: x is not null), '; ')), chr(10)) as lines from c where len(t) >= 2
+""")
+def table_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Short chunks of a source as the rows of a table with one nameless column."""
+    c = table(spark, d, "chunks").filter("length(coalesce(text, '')) < 400")
+    row = F.struct("chunk_index", "chunk_id", F.array("heading", F.col("chunk_index").cast("string"), "text").alias("r"))
+    rows = c.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("rows"))
+    head = F.array(F.array(F.lit("Heading"), F.lit(""), F.lit("Text")))
+    return rows.select("source_id", D.table_text(F.concat(head, F.col("rows"))).alias("lines")).filter("lines is not null")
+
+
+@query("""
+    with d as (select distinct url from sources where content_type <> 'html' and url is not null), l as (select page_id, concat_ws(' › ', nullif(trim(section, ' '), ''), nullif(trim(title, ' '), '')) as said, unnest(links).url as url from extracted_pages)
+    select d.url, coalesce(arg_min(said, (page_id, said)), '') as section from d left join l using (url) group by d.url
+""")
+def document_context(spark: SparkSession, d: str) -> DataFrame:
+    """What the first page that links to a file says of itself."""
+    return crawl.page_context(table(spark, d, "sources").filter("content_type <> 'html' and url is not null"), table(spark, d, "extracted_pages"))
+
+
+@query("""
+    select lang, text_hash, case when min(known) = 0 then null else max(value) end as value from (
+      select lang, sha256(text) as text_hash, case when doc_id % 2 = 0 then 1 else 0 end as known, null as value from documents where false
+      union all select r.lang, r.h, case when c.h is null then 0 else 1 end, c.value from (select distinct lang, sha256(text) as h from documents where text is not null and lang is not null) r
+        left join (select lang, sha256(text) as h, max(cast(doc_id as varchar)) as value from documents where doc_id % 3 = 0 and text is not null and lang is not null group by all) c on c.lang = r.lang and c.h = r.h) group by all
+""")
+def translation_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Each different text to be translated, with what is known of it; those of a third of the documents are."""
+    docs = table(spark, d, "documents").filter("text is not null and lang is not null").select("doc_id", "lang", F.sha2("text", 256).alias("text_hash"))
+    return crawl.cached(docs, docs.filter("doc_id % 3 = 0").select("lang", "text_hash", F.col("doc_id").cast("string").alias("value")), ["lang", "text_hash"], "value")
+
+
+@query("select doc_id, length(regexp_replace(text, '\\s+', '', 'g')) >= 20 and length(regexp_replace(text, '\\s+', '', 'g')) - length(regexp_replace(regexp_replace(text, '\\s+', '', 'g'), '[�-]', '', 'g')) > 0.3 * length(regexp_replace(text, '\\s+', '', 'g')) as unreadable from documents where text is not null")
+def unreadable_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", T.unreadable(F.col("text")).alias("unreadable"))
+
+
+@query("""
+    with a as (select doc_id, regexp_replace(text, '[​-‏‪-‮⁠﻿­]', '', 'g') as t from documents where text is not null), b as (select doc_id, regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '[ \\t ]+', ' ', 'g') as t from a)
+    select doc_id, sha256(trim(regexp_replace(regexp_replace(t, ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ')) as hash from b
+""")
+def sanitized_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2(T.sanitized(F.col("text")), 256).alias("hash"))
+
+
+@query(f"select source_id, {_HOST.format('url')} as host, regexp_matches(url, '(/file/d/|[?&]id=)[A-Za-z0-9_-]{{20,}}') and {_HOST.format('url')} in ('drive.google.com', 'docs.google.com') as drive, trim(regexp_replace(regexp_replace(title, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'), ' ') as title from sources where url is not null and not coalesce(contains(title, '&'), false)")
+def clean_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles without tags; those with entities are tested apart."""
+    s = table(spark, d, "sources").filter("url is not null and not coalesce(contains(title, '&'), false)")
+    return s.select("source_id", U.host(F.col("url")).alias("host"), U.is_drive(F.col("url")).alias("drive"), M.clean_title(F.col("title")).alias("title"))

@@ -405,3 +405,46 @@ def best_sources(spark: SparkSession, d: str) -> DataFrame:
 def stale_answers(spark: SparkSession, d: str) -> DataFrame:
     """Questions all of whose dated hits are old, asked a year later."""
     return facts.stale_since(_hits(spark, d).withColumn("age", F.col("age") + 365)).select("query_id", F.round("age", 2).alias("age"))
+
+
+@query(f"with {_VEC} select query_id, vec_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from sim qualify rank <= 12")
+def vector_index_all(spark: SparkSession, d: str) -> DataFrame:
+    """The index with all lists probed, which is exact."""
+    q, v = _vectors(spark, d)
+    index = search.VectorIndex.build(v)
+    return index.search(q, 12, len(index.centres)).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 12 of the index with two thirds of its lists probed; the stored vectors have no clusters."""
+    q, v = _vectors(spark, d)
+    index = search.VectorIndex.build(v)
+    return search.recall(index.search(q, 12, -(-2 * len(index.centres) // 3)), search.dense(q, v, 12))
+
+
+@query("select chunk_id, coalesce(regexp_matches(text, '" + facts.NO_INFORMATION.replace("'", "''") + "') or contains(lower(text), 'don''t have that information'), false) and length(text) < 220 and not regexp_matches(text, '[0-9]') as refusal from chunks where text is not null")
+def refusals(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").filter("text is not null").select("chunk_id", facts.is_refusal(F.col("text")).alias("refusal"))
+
+
+#: Short forms and their meanings, for the queries below.
+MEANINGS = {"bca": "BCA Bachelor of Computer Applications", "bba": "BBA Bachelor of Business Administration", "bsc": "B.Sc Bachelor of Science", "msc": "M.Sc Master of Science", "pgdca": "Post Graduate Diploma in Computer Applications", "iqac": "IQAC Internal Quality Assurance Cell"}
+_SHORT = "regexp_replace(regexp_replace(coalesce(heading, ''), '\\b([A-Za-z])\\.([A-Za-z])', '\\1\\2', 'g'), '\\b([A-Za-z])\\.([A-Za-z])', '\\1\\2', 'g')"
+_FOUND = "list_filter([" + ", ".join(f"case when regexp_matches({_SHORT}, '(?i)\\b{k}\\b') then '{v}' end" for k, v in MEANINGS.items()) + "], lambda x: x is not null)"
+_GLOSSED = "list_filter([" + ", ".join(f"case when regexp_matches({_SHORT}, '(?i)\\b{k}\\b') then '{k.upper()} = {v[len(k):].lstrip() if v.lower().startswith(k + ' ') else v}' end" for k, v in MEANINGS.items()) + "], lambda x: x is not null)"
+
+
+@query(f"select chunk_id, case when len({_FOUND}) > 0 then heading || ' (' || array_to_string({_FOUND}, '; ') || ')' else heading end as search, array_to_string({_GLOSSED}, '; ') as glossary from chunks where heading is not null")
+def expanded_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Headings as questions, with the meanings of their short forms."""
+    h = F.col("heading")
+    return table(spark, d, "chunks").filter("heading is not null").select("chunk_id", guard.expanded(h, MEANINGS).alias("search"), F.array_join(guard.glossary(h, MEANINGS), "; ").alias("glossary"))
+
+
+_TOPIC = guard._any(guard.Rules().topic).replace("'", "''")
+
+
+@query(f"with t as (select doc_id, coalesce(text, '') as t from documents) select doc_id, coalesce(regexp_matches(t, '{_TOPIC}') or regexp_matches(t, '[^\\x00-\\x7F]'), false) as on_topic from t")
+def topic_flags(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", guard.on_topic(F.coalesce("text", F.lit(""))).alias("on_topic"))

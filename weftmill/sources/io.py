@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from weftmill.functions.text import sniffed
 from weftmill.operators.crawl import merged
+from weftmill.shared import staged
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -54,16 +57,29 @@ def sitemap(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, fetch: Callable[[int], list[dict]], schema: str, most: int = 100) -> DataFrame:
-    """Rows of a paged listing: each page is asked for by one task; pages after the last give none. ``fetch`` is an adapter."""
+    """Rows of a paged listing, page by page until one gives none, ``most`` pages at most. ``fetch`` is an adapter.
+
+    Pages are asked for in runs that double, 1, 2, 4 ..., each run's by its own tasks; a run that ends short is the last.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for n in b["id"]:
-                rows = fetch(int(n) + 1)
+                rows = fetch(int(n))
                 if rows:
-                    yield pd.DataFrame(rows)
+                    yield pd.DataFrame(rows).assign(_page=int(n))
 
-    return spark.range(0, most, 1, min(most, 16)).mapInPandas(read, schema)
+    out, first, size = None, 1, 1
+    while first <= most:
+        last = min(most, first + size - 1)
+        got = staged(spark.range(first, last + 1, 1, min(last - first + 1, 16)).mapInPandas(read, f"{schema}, _page long"), "listing")
+        full = got.select("_page").distinct().count() == last - first + 1
+        rows = got.drop("_page")
+        out = rows if out is None else out.unionByName(rows)
+        if not full:
+            break
+        first, size = last + 1, size * 2
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def fetched(urls: DataFrame, fetch: Callable[[str], dict], schema: str, per_host: int = 1) -> DataFrame:
@@ -91,40 +107,73 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 class VectorStore:
-    """Chunks with their vectors as a Parquet table, replaced by key or source in one overwrite of a new version."""
+    """Chunks with their vectors as a Parquet table cut into parts by their source's hash; a change writes only the parts it touches.
+
+    A commit file names the folder of every part; it becomes visible by one rename, so that readers see all of a change or none.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id"):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id", source: str = "source_id", parts: int = 64):
+        self.spark, self.path, self.key, self.source, self.parts = spark, path.rstrip("/"), key, source, parts
         jvm = spark.sparkContext._jvm
         self._p = jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        if not self._fs.exists(self._p(self.path)):
-            return []
-        names = [x.getPath().getName() for x in self._fs.listStatus(self._p(self.path))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._p(f"{self.path}/{n}/_SUCCESS")))
+        self._fs.mkdirs(self._p(self.path))
+
+    def _state(self) -> dict:
+        """The last commit: its number, the schema, and of each part its folder."""
+        names = sorted(x.getPath().getName() for x in self._fs.listStatus(self._p(self.path)) if x.getPath().getName().startswith("commit-"))
+        if not names:
+            return {"seq": 0, "schema": None, "folders": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/{names[-1]}").first()[0])
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.source)), F.lit(self.parts)).cast("int")
+
+    def _read(self, state: dict, parts: list[int] | None = None) -> DataFrame | None:
+        if state["schema"] is None:
+            return None
+        at = [f"{self.path}/{f}/part={n}" for n, f in state["folders"].items() if parts is None or int(n) in parts]
+        schema = StructType.fromJson(state["schema"])
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
+
+    def _replace(self, state: dict, parts: list[int], rows: DataFrame) -> DataFrame:
+        """Writes the given parts anew and publishes them."""
+        folder = f"rows-{uuid.uuid4().hex}"
+        rows.withColumn("part", self._part()).repartition("part").write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        there = {x.getPath().getName().partition("=")[2] for x in self._fs.listStatus(self._p(f"{self.path}/{folder}")) if x.getPath().getName().startswith("part=")}
+        folders = {n: f for n, f in state["folders"].items() if int(n) not in parts} | dict.fromkeys(sorted(there), folder)
+        new = {"seq": state["seq"] + 1, "schema": state["schema"] or json.loads(rows.schema.json()), "folders": folders}
+        tmp, name = f"{self.path}/.pending-{uuid.uuid4().hex}", f"{self.path}/commit-{new['seq']:09d}.json"
+        out = self._fs.create(self._p(tmp))
+        out.write(bytearray(json.dumps(new).encode()))
+        out.close()
+        if not self._fs.rename(self._p(tmp), self._p(name)):
+            raise RuntimeError(f"{name} has been published by another writer")
+        return self._read(new)
 
     def all(self) -> DataFrame | None:
-        v = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v{v[-1]}") if v else None
-
-    def _write(self, df: DataFrame) -> DataFrame:
-        n = (self._versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{n}")
-        return self.spark.read.parquet(f"{self.path}/v{n}")
+        return self._read(self._state())
 
     def add(self, rows: DataFrame) -> DataFrame:
-        """Rows added; those of a known key replaced."""
-        old = self.all()
-        return self._write(merged(rows, old, self.key) if old is not None else rows)
+        """Rows added; those of a known key replaced, also where it has moved to another source."""
+        state = self._state()
+        if state["schema"] is None:
+            return self._replace(state, list(range(self.parts)), rows)
+        keys = rows.select(self.key).distinct()
+        moved = self.all().select(self.key, self.source).join(keys, self.key, "left_semi").select(self._part().alias("n"))
+        touched = sorted(r.n for r in rows.select(self._part().alias("n")).unionByName(moved).distinct().collect())  # at most as many as there are parts
+        return self._replace(state, touched, merged(rows, self._read(state, touched), self.key))
 
     def get(self, keys: DataFrame) -> DataFrame:
         """Rows of the given keys; missing ones are passed over."""
         return self.all().join(keys.select(self.key).distinct(), self.key, "left_semi")
 
-    def delete_source(self, sources: DataFrame, source: str = "source_id") -> DataFrame:
-        return self._write(self.all().join(sources.select(source).distinct(), source, "left_anti"))
+    def delete_source(self, sources: DataFrame, source: str | None = None) -> DataFrame:
+        """All rows without those of the given sources; only the sources' parts are read and written."""
+        state, name = self._state(), source or self.source
+        gone = sources.select(F.col(name).alias(self.source)).distinct()
+        touched = sorted(r.n for r in gone.select(self._part().alias("n")).distinct().collect())
+        return self._replace(state, touched, self._read(state, touched).join(gone, self.source, "left_anti"))
 
     def count(self) -> int:
         rows = self.all()

@@ -15,7 +15,7 @@ DAY, MINUTE = 86_400_000_000, 60_000_000
 
 
 def decided(requests: DataFrame, key: str = "key", at: str = "ts", order: str = "id", per_minute: int = PER_MINUTE, per_day: int = PER_DAY) -> DataFrame:
-    """(key, id, decision) of each request of a stream, in order of time within each micro-batch.
+    """(key, id, decision) of each request of a stream, in order of time within each Arrow batch of a micro-batch.
 
     The state of a key is the times of its allowed requests of a day, ``per_day`` at most. Requests older than what a key
     has seen are decided against the state as it is.
@@ -23,22 +23,27 @@ def decided(requests: DataFrame, key: str = "key", at: str = "ts", order: str =
     rows = requests.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(order).cast("long").alias("id")).filter("key is not null and us is not null")
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # nothing for a day: all is forgotten
+            state.remove()
+            return
         seen = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["us", "id"])
-        out = []
-        for us in pdf["us"]:
-            seen = [t for t in seen if us - t < DAY]
-            if per_day and len(seen) >= per_day:
-                out.append("day")
-            elif per_minute and sum(us - t < MINUTE for t in seen) >= per_minute:
-                out.append("minute")
-            else:
-                seen.append(int(us))
-                out.append("allow")
+        for pdf in batches:  # one Arrow batch at a time, whatever the key's share of the micro-batch
+            pdf = pdf.sort_values(["us", "id"])
+            out = []
+            for us in pdf["us"]:
+                seen = [t for t in seen if us - t < DAY]
+                if per_day and len(seen) >= per_day:
+                    out.append("day")
+                elif per_minute and sum(us - t < MINUTE for t in seen) >= per_minute:
+                    out.append("minute")
+                else:
+                    seen.append(int(us))
+                    out.append("allow")
+            yield pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "decision": out})
         state.update((seen,))
-        yield pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "decision": out})
+        state.setTimeoutDuration(DAY // 1000)
 
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, id long, decision string", "seen array<long>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, id long, decision string", "seen array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def hourly(events: DataFrame, at: str = "ts", late: str = "1 hour", kind: str = "event_type") -> DataFrame:
@@ -55,11 +60,37 @@ def sessions(events: DataFrame, key: str = "user_id", at: str = "ts", idle: str
 
 
 def without_thinking(pieces: DataFrame, key: str = "stream", order: str = "n", text: str = "text") -> DataFrame:
-    """(key, text): pieces of each stream joined in order, without what stands between <think> marks, also where pieces cut a mark.
+    """(key, order, text): each piece of a stream without what stands between <think> marks, as soon as it is decided.
 
-    One answer is one group; it is as long as an answer.
+    What may be the beginning of a mark is held back until the next piece, so a mark that pieces cut is found; the state is
+    whether a part is open and at most six held characters. A stream's last piece is told by a null text, which gives what
+    is held. White space after a part is dropped.
     """
-    from weftmill.operators.usage import without_thinking as batch
+    rows = pieces.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("n"), F.col(text).alias("text"))
 
-    joined = pieces.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "").alias(text))
-    return joined.select(key, batch(F.col(text)).alias(text))
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        inside, held, fresh = state.get if state.exists else (False, "", True)
+        for pdf in batches:
+            pdf = pdf.sort_values("n")
+            out = []
+            for t in pdf["text"]:
+                end = t is None or t != t
+                data, shown, held = held + ("" if end else t), "", ""
+                while data:
+                    mark = "</think>" if inside else "<think>"
+                    at = data.lower().find(mark)
+                    if at >= 0:
+                        shown += "" if inside else data[:at]
+                        data, inside, fresh = data[at + len(mark) :], not inside, True
+                        continue
+                    keep = 0 if end else next((n for n in range(min(len(mark) - 1, len(data)), 0, -1) if mark.startswith(data[-n:].lower())), 0)
+                    shown += "" if inside else data[: len(data) - keep]
+                    held, data = data[len(data) - keep :], ""
+                if fresh and not inside:
+                    shown = shown.lstrip()
+                    fresh = not shown
+                out.append(shown)
+            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "text": out})
+        state.update((inside, held, fresh))
+
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, n long, text string", "inside boolean, held string, fresh boolean", "append", GroupStateTimeout.NoTimeout).select(F.col("key").alias(key), F.col("n").alias(order), F.col("text").alias(text))
