@@ -24,14 +24,14 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"
 LINK_ATTRIBUTES = ["data-href", "data-url", "data-link", "data-file", "data-pdf", "data-pdf-url", "data-src-pdf"]
 # Class or id words of blocks around the content, of panels that hold content, of their titles, of copies for phones.
 AROUND = re.compile(
-    r"(^|[\s_-])(menu|navbar|nav-|breadcrumbs?|cookie|consent|gdpr|social|share|sharing|slider|swiper|carousel|owl-|slick|marquee|ticker|popup|modal|offcanvas|sidebar|widget_recent|related|comments?|"
-    r"search-form|skip-link|screen-reader|sr-only|visually-hidden|back-to-top|scroll-top|whatsapp|copyright|header-section|footer-section|site-header|site-footer)", re.I)
+    r"(^|[\s_-])(menu|navbar|nav-|breadcrumbs?|cookie|consent|gdpr|social|share|sharing|slider|swiper|carousel|owl-|slick|marquee|ticker|popup|modal|offcanvas|sidebar|widget_recent|related|comments?|comment-respond|"
+    r"search-form|skip-link|screen-reader|sr-only|visually-hidden|back-to-top|scroll-top|whatsapp|copyright|header-section|footer-section|elementor-location-header|elementor-location-footer|site-header|site-footer)", re.I)
 PANEL = re.compile(r"tab-content|tab-pane|accordion|toggle-content|collapse|e-n-tab", re.I)
-PANEL_TITLE = re.compile(r"(^|\s)(tab-title|accordion-item-title|elementor-tab-title|e-n-tab-title|e-n-accordion-item-title|accordion-button|accordion-header|panel-title|elementor-toggle-title)(\s|$)")
-PHONE_ONLY = re.compile(r"elementor-hidden-desktop|elementor-tab-mobile-title|hidden-desktop|mobile-only")
+PANEL_TITLE = re.compile(r"(^|\s)(elementor-tab-title|e-n-accordion-item-title|e-n-tab-title|accordion-button|accordion-header|panel-title|elementor-toggle-title)(\s|$)")
+PHONE_ONLY = re.compile(r"elementor-hidden-desktop|elementor-tab-mobile-title")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0|opacity\s*:\s*0(?![.\d])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "search", "dialog", "alert"}
-NOISE = re.compile(r"(view all|read more|know more|click here|learn more|more|apply now|download|home|previous|next|share|share this|follow us|back to top|menu|close|search|load more|view profile|search results|[›»«‹|-])\s*[:.!»›]*", re.I)
+NOISE = re.compile(r"(view all|read more|know more|click here|learn more|more|apply now|download|home|previous|next|share|share this|follow us|back to top|menu|close|search|load more|view email|view profile|search results|›|»|«|‹|\||-)\s*[:.!»›]*", re.I)
 _ONCLICK = re.compile(r"""(?:window\.open|location(?:\.href)?\s*=|location\.assign)\s*\(?\s*['"]([^'"]+)['"]""")
 _PLAIN_URL = re.compile(r"https?://[^\s<>\"')\]]+", re.I)
 

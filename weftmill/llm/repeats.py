@@ -192,13 +192,13 @@ def _candidates(rows: DataFrame, needed: DataFrame) -> DataFrame:
         depth += 1
 
 
-def _prepared(pages: DataFrame, fields: list[str], min_urls: int, min_share: float, key: str, url: str, site: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with their runs, urls needed, candidates)."""
+def _prepared(pages: DataFrame, fields: list[str], min_urls: int, min_share: float, key: str, url: str, site: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents as identifiers, the common lines of sites, urls needed, candidates)."""
     rows = staged(line_ids(pages, fields, key, url, site), "lines")
     needed = staged(_needed(pages, url, site, min_urls, min_share), "needed")
-    rows = rows.join(_common(rows, needed), _GROUP)
-    with_runs = rows.select(*_GROUP, "u", "row", "key", _cut("ids", "common").alias("runs"))
-    return rows, needed, staged(_candidates(with_runs, needed), "blocks")
+    common = staged(_common(rows, needed), "common")
+    with_runs = rows.select(*_GROUP, "u", "ids").join(common, _GROUP).select(*_GROUP, "u", _cut("ids", "common").alias("runs"))
+    return rows, common, needed, staged(_candidates(with_runs, needed), "blocks")
 
 
 def maximal_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
@@ -208,7 +208,7 @@ def maximal_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS
     has all of them. It is on many urls if they are at least ``min_urls`` and ``min_share`` of the site's distinct urls;
     documents that repeat a key each count as pages. Places count wherever the block stands, also within longer ones.
     """
-    rows, needed, blocks = _prepared(pages, fields, min_urls, min_share, key, url, site)
+    rows, common, needed, blocks = _prepared(pages, fields, min_urls, min_share, key, url, site)
     lists = blocks.groupBy(*_GROUP).agg(F.collect_list("lines").alias("blocks"))  # bounded like the lines on many urls
 
     @F.pandas_udf("array<struct<b:int,n:int>>")
@@ -227,7 +227,7 @@ def maximal_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS
             out.append([{"b": i, "n": n} for i, n in count.items()])
         return pd.Series(out)
 
-    at = rows.join(lists, _GROUP).select(*_GROUP, "u", "row", "blocks", F.explode(places("ids", "common", "blocks")).alias("x"))
+    at = rows.join(common, _GROUP).join(lists, _GROUP).select(*_GROUP, "u", "row", "blocks", F.explode(places("ids", "common", "blocks")).alias("x"))
     at = at.select(*_GROUP, "u", "row", F.get("blocks", F.col("x.b")).alias("lines"), "x.n")
     per = at.select(*_GROUP, "u", "row", F.size("lines").alias("length"), F.xxhash64("lines").alias("block"), "n")
     by = per.groupBy(*_GROUP, "length", "block", "u").agg(F.count("*").alias("pages"), F.sum("n").alias("places")).groupBy(*_GROUP, "length", "block").agg(F.count("*").alias("urls"), F.sum("pages").alias("pages"), F.sum("places").alias("places"))
@@ -237,7 +237,7 @@ def maximal_blocks(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS
 
 def repeated_lines(pages: DataFrame, fields: list[str], min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, key: str = "page_id", url: str = "url", site: str = "site") -> DataFrame:
     """(key, in_field, line_no) of every line of a maximal block, wherever it stands: each is itself a block of one line on as many urls."""
-    rows, _, blocks = _prepared(pages, fields, min_urls, min_share, key, url, site)
+    rows, _, _, blocks = _prepared(pages, fields, min_urls, min_share, key, url, site)
     cut = staged(blocks.select(*_GROUP, F.explode("lines").alias("id")).distinct(), "cut")
     cut = F.broadcast(cut) if cut.count() <= BROADCAST_LINES else cut
     name = F.get(F.array(*map(F.lit, fields)), F.col("f"))
