@@ -147,13 +147,15 @@ def _add(interval: list, urls: int, before: int | None) -> None:
 
 
 def _blocks_of(depth: int):
-    """The function that sorts the suffixes of one group."""
+    """The function that sorts the suffixes of one group, site by site and field by field."""
 
     def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(tuple(a), int(b), int(c)) for a, b, c in zip(pdf["lines"], pdf["before"], pdf["urls"])]
-        got = list(_sorted_blocks(rows, depth))
-        of = lambda xs, kind: pd.Series(xs, dtype=kind)
-        return pd.DataFrame({"site": of([pdf["site"].iloc[0]] * len(got), object), "f": of([pdf["f"].iloc[0]] * len(got), "int8"), "lines": of([x for x, _ in got], object), "urls": of([u for _, u in got], "int64")})
+        of: dict[tuple[str, int], list[tuple[tuple[int, ...], int, int]]] = {}
+        for site, f, lines, before, urls in zip(pdf["site"], pdf["f"], pdf["lines"], pdf["before"], pdf["urls"]):
+            of.setdefault((site, f), []).append((tuple(lines.tolist()), before, urls))
+        got = [(*k, lines, urls) for k, suffixes in of.items() for lines, urls in _sorted_blocks(suffixes, depth)]
+        kinds = {"site": object, "f": "int8", "lines": object, "urls": "int64"}
+        return pd.DataFrame({c: pd.Series([x[i] for x in got], dtype=t) for i, (c, t) in enumerate(kinds.items())})
 
     return blocks
 
@@ -161,8 +163,9 @@ def _blocks_of(depth: int):
 def _candidates(rows: DataFrame, needed: DataFrame) -> DataFrame:
     """(site, f, lines): maximal blocks that are on enough urls, or seem to be where a url has several runs with one.
 
-    ``rows`` have their runs. Suffixes of different runs are parted by their first line; where these are more than SORTED,
-    the first line alone is counted by an aggregate, and the suffixes are parted by their first two, and so on.
+    ``rows`` have their runs. Suffixes of different runs are parted by their first line, many first lines to a task; where
+    those of one are more than SORTED, it alone is counted by an aggregate, and its suffixes are parted by their first two
+    lines, and so on.
     """
     runs = rows.select(*_GROUP, "u", F.explode("runs").alias("run")).distinct().groupBy(*_GROUP, "run").agg(F.count("*").alias("urls"))
     n = F.size("run")
@@ -171,12 +174,15 @@ def _candidates(rows: DataFrame, needed: DataFrame) -> DataFrame:
     found, depth = None, 1
     while True:
         begun = suffixes.withColumn("first", F.slice("lines", 1, depth))
-        sizes = begun.groupBy(*_GROUP, "first").agg(F.count("*").alias("size"))
-        hot = staged(sizes.filter(F.col("size") > SORTED).select(*_GROUP, "first"), "hot")
+        sizes = staged(begun.groupBy(*_GROUP, "first").agg(F.count("*").alias("size")), "sizes")
+        hot = sizes.filter(F.col("size") > SORTED).select(*_GROUP, "first")
         any_hot = not hot.isEmpty()
         small = begun.join(hot, [*_GROUP, "first"], "left_anti") if any_hot else begun
 
-        part = small.groupBy(*_GROUP, "first").applyInPandas(_blocks_of(depth), "site string, f byte, lines array<bigint>, urls long")
+        total = sizes.filter(F.col("size") <= SORTED).agg(F.sum("size")).first()[0] or 0
+        slots = max(2 * rows.sparkSession.sparkContext.defaultParallelism, 2 * total // SORTED)
+        small = small.withColumn("slot", F.pmod(F.xxhash64(*_GROUP, "first"), F.lit(slots)))
+        part = small.groupBy("slot").applyInPandas(_blocks_of(depth), "site string, f byte, lines array<bigint>, urls long")
         if any_hot:
             big = staged(begun.join(hot, [*_GROUP, "first"], "left_semi"), "long")
             after = F.get("lines", F.lit(depth))
