@@ -14,11 +14,13 @@ from weftmill.operators.usage import PER_DAY, PER_MINUTE
 DAY, MINUTE = 86_400_000_000, 60_000_000
 
 
-def decided(requests: DataFrame, key: str = "key", at: str = "ts", order: str = "id", per_minute: int = PER_MINUTE, per_day: int = PER_DAY) -> DataFrame:
+def decided(requests: DataFrame, key: str = "key", at: str = "ts", order: str = "id", per_minute: int = PER_MINUTE, per_day: int = PER_DAY, forget: bool = False) -> DataFrame:
     """(key, id, decision) of each request of a stream, in order of time within each Arrow batch of a micro-batch.
 
     The state of a key is the times of its allowed requests of a day, ``per_day`` at most. Requests older than what a key
     has seen are decided against the state as it is.
+    With ``forget``, a key without a request for a day loses its state; such a query goes on by itself, so it does not end
+    under a trigger that stops when all is read.
     """
     rows = requests.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(order).cast("long").alias("id")).filter("key is not null and us is not null")
 
@@ -41,9 +43,10 @@ def decided(requests: DataFrame, key: str = "key", at: str = "ts", order: str =
                     out.append("allow")
             yield pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "decision": out})
         state.update((seen,))
-        state.setTimeoutDuration(DAY // 1000)
+        if forget:
+            state.setTimeoutDuration(DAY // 1000)
 
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, id long, decision string", "seen array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, id long, decision string", "seen array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def hourly(events: DataFrame, at: str = "ts", late: str = "1 hour", kind: str = "event_type") -> DataFrame:
