@@ -1,7 +1,9 @@
 import base64
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,18 @@ def test_rare_words_are_counted_exactly(spark):
     assert got[0] == got[1] == [(99, 0, "hyphen"), (99, 0, "misread")]
 
 
+def test_batches_are_read_a_few_rows_at_a_time():
+    """A batch of 4,000 texts, of 300 different words each, whose counts would be more than 100 MB at once."""
+    rnd = random.Random(2)
+    batch = pa.array([" ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(300)) for _ in range(4000)])
+    tracemalloc.start()
+    try:
+        assert sum(len(part) for part in ocr._words.func(iter([batch]))) == 4000
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("most", [1, 7])
 def test_hot_lines_are_parted_by_the_lines_that_follow(spark, monkeypatch, most):
     rnd = random.Random(9)
