@@ -77,6 +77,20 @@ def test_rare_words_are_counted_exactly(spark):
     assert got[0] == got[1] == [(99, 0, "hyphen"), (99, 0, "misread")]
 
 
+def test_parts_that_are_counted_themselves_are_read_over_gaps_and_cut(spark):
+    """Parts and stretches have counts from the text they stand in, which must not keep them as they are."""
+    base = "The first year of the warden and the committee began in the main hall. "
+    rows = [(i, base * 3, "t", "https://a/x.pdf") for i in range(80)]
+    rows += [(97, "The com mit-\ntee began in the hall.", "t", "https://a/v.pdf"), (98, "The warden and the com mit tee began in the hall.", "t", "https://a/y.pdf"), (99, "Thefirstyear of the warden began in the main hall.", "t", "https://a/z.pdf")]
+    d = spark.createDataFrame(rows, "file_id long, text string, title string, url string")
+    out = {r.file_id: r.repaired for r in ocr.repaired(d).filter("file_id > 90 or file_id = 0").collect()}
+    assert out[97] == "The committee began in the hall."
+    assert out[98] == "The warden and the committee began in the hall."
+    assert out[99] == "The first year of the warden began in the main hall."
+    assert out[0] == (base * 3).strip()
+    assert sorted(map(tuple, ocr.noise(d).filter("file_id > 90").collect())) == [(97, 0, "hyphen")]
+
+
 def test_batches_are_read_a_few_rows_at_a_time():
     """A batch of 4,000 texts, of 300 different words each, whose counts would be more than 100 MB at once."""
     rnd = random.Random(2)
