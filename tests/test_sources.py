@@ -66,6 +66,11 @@ def test_turns_of_a_host(spark):
     assert got == {1: 0, 2: 100, 6: 200, 3: 500, 4: 600, 5: 3}
 
 
+def test_many_turns_of_a_host(spark):
+    got = web.turns(spark.range(9000).selectExpr("id", "'a' as host", "0L as us"), 250_000).selectExpr("max(start)", "count(distinct start)").first()
+    assert tuple(got) == (8999 * 250_000, 9000)
+
+
 def test_sitemaps_of_sitemaps(spark):
     site = "https://a.org"
     body = {

@@ -53,7 +53,7 @@ def turns(requests: DataFrame, delay_us: int, host: str = "host", us: str = "us"
     nothing is walked row by row.
     """
     w = Window.partitionBy(host, *more).orderBy(us, order)
-    d = requests.withColumn("_n", F.row_number().over(w) * delay_us)
+    d = requests.withColumn("_n", F.row_number().over(w).cast("long") * delay_us)  # an int holds 8,589 delays of 250 ms
     running = F.max(F.col(us) - F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn("start", running + F.col("_n")).drop("_n")
 
